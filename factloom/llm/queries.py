@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language, mixing, packing, quality, secrets, vectors, warc
+from factloom.llm import language, lm, mixing, packing, quality, secrets, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.class_lm(_table(spark, sf_dir, "documents"), language.held_out(F.col("doc_id"), 7, 2))
+
+
 def op8_ownership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -44,7 +48,7 @@ def op10_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_chunked_archives, op4_language_filters, op5_length_buckets, op6_weighted_fair_mix, op8_ownership_scan, op9_branch_and_bound, op10_line_field)}
+QUERIES = {f.__name__: f for f in (op2_chunked_archives, op4_language_filters, op5_length_buckets, op6_weighted_fair_mix, op7_class_bigrams, op8_ownership_scan, op9_branch_and_bound, op10_line_field)}
 
 ORACLE_SQL = {
     "op2_chunked_archives": """
