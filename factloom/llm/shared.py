@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.words import pieces
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
@@ -62,3 +67,55 @@ def running_totals(df: DataFrame, scratch: Scratch, name: str, group: list[str],
     for i, g in enumerate(group):
         match = match & inside[g].eqNullSafe(before[f"_g{i}"])
     return inside.join(before, match).withColumn(out, F.col("_inside") + F.col("_before")).drop("_p", "_q", "_inside", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
+def sieve(keys: DataFrame, column: str, log_bits: int = 25):
+    """A Bloom filter of a long column, as a function from a long Column to a Boolean one: false only for values that aren't there.
+
+    The filter has 2**log_bits bits whatever the data, so it can be broadcast (4 MB); with more keys it lets more pass.
+    """
+    spark = keys.sparkSession
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << log_bits)) for k in (1, 2)]))
+    words = keys.select(spots.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    got = words.toArrow()  # 2**(log_bits - 6) rows at most
+    table = np.zeros(1 << (log_bits - 6), np.int64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def there(a: pd.Series, b: pd.Series) -> pd.Series:
+        t, out = sent.value, True
+        for at in (a.to_numpy(), b.to_numpy()):
+            out = out & ((t[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(out)
+
+    return lambda c: there(*[F.pmod(F.xxhash64(c, F.lit(k)), F.lit(1 << log_bits)) for k in (1, 2)])
+
+
+def frequent_grams(docs: DataFrame, n: int, lower: bool, at_least: int = 3, top: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of frequent runs of n words of docs (text): those met ``at_least`` times in one batch.
+
+    Serves to order runs by frequency, where any order gives right results; so the list may keep to ``top`` entries.
+    """
+
+    def count(batches):
+        for batch in batches:
+            found = [p.grams(n, p.hashes())[0] for p in pieces(batch.column("text"), lower)]
+            x, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            keep = times >= at_least
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["gram", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = Scratch(docs.sparkSession, "frequent").table(sums, "sums")
+    level, held, least = F.floor(F.log2(F.col("n").cast("double")) * 8), 0, None
+    for r in sums.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 512 rows at most
+        held += r["count"]
+        if held > top:
+            break
+        least = r["level"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    got = sums.where(level >= least).toArrow()
+    gram = got.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], got.column("n").to_numpy()[order]
