@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language, lm, mixing, packing, quality, secrets, substrings, vectors, warc
+from factloom.llm import jaccard, language, lm, mixing, packing, quality, secrets, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_grouped_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 def op2_chunked_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_chunked_archives, op3_super_kmers, op4_language_filters, op5_length_buckets, op6_weighted_fair_mix, op7_class_bigrams, op8_ownership_scan, op9_branch_and_bound, op10_line_field)}
+QUERIES = {f.__name__: f for f in (op1_grouped_prefixes, op2_chunked_archives, op3_super_kmers, op4_language_filters, op5_length_buckets, op6_weighted_fair_mix, op7_class_bigrams, op8_ownership_scan, op9_branch_and_bound, op10_line_field)}
 
 ORACLE_SQL = {
     "op2_chunked_archives": """
