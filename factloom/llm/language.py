@@ -98,8 +98,8 @@ def slot(gram: np.ndarray, j: int) -> np.ndarray:
     return mix(gram + np.uint64((j + 1) << 32)) & np.uint64((1 << SLOT_BITS) - 1)
 
 
-def predict(docs: DataFrame, model: tuple) -> DataFrame:
-    """(doc_id, lang_pred, score, and the columns named extra of docs) for docs (doc_id, text)."""
+def predict(docs: DataFrame, model: tuple, keep: tuple = ("doc_id",)) -> DataFrame:
+    """(lang_pred, score) and the columns ``keep`` for each row of docs (doc_id, text)."""
     langs, slots, usual = model
     spark = docs.sparkSession
     # All 2**GRAM_BITS classes answered once: the mask of each n-gram class is the AND of its slots.
@@ -137,10 +137,11 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
                         k = int(right[:, i].argmax())
                         names.append(langs[k])
                         scores.append(float(right[k, i] / known))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(f"_keep{i}").slice(p.first, p.n_docs) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double")
+    rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    kinds = dict(docs.dtypes)
+    return rows.mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", lang_pred string, score double")
 
 
 def held_out(doc_id, parts: int = 5, part: int = 0):

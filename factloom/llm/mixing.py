@@ -46,11 +46,11 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_passes: int =
     return s.select("source", "source_size", F.least("cap", F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, max_passes: int = MAX_PASSES, seed: str = "") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each row of docs (doc_id, text, source)."""
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, max_passes: int = MAX_PASSES, seed: str = "", key: str | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) and the column ``key``, if named, for each row of docs (doc_id, text, source)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), order.alias("_order"))
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"), order.alias("_order"), *([key] if key else []))
     rows = running_totals(sized, scratch, "shuffled", ["source"], [F.col("_order"), F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "_through")
     rows = scratch.table(rows, "totals")
     t = scratch.table(source_targets(rows.select("source", "size"), weights, max_passes), "targets")
@@ -66,4 +66,4 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, max_passes: int = MAX
     taken = taken.groupBy("doc_id", "source", "_through").agg(F.sum("size").alias("taken"))
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_through").alias("_t"), "taken")
     out = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_d"]) & rows["source"].eqNullSafe(taken["_s"]) & (rows["_through"] == taken["_t"]) & (rows["size"] > 0), "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *([key] if key else []))

@@ -65,14 +65,16 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucket
     return sorted(set(ends)), int(cost[n])
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """docs (doc_id, text) with n_tokens, bucket_len (its bucket's upper end), batch_id (within the bucket), place and padding; other columns stay."""
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, keep_text: bool = False) -> DataFrame:
+    """docs (doc_id, text) with n_tokens, bucket_len (its bucket's upper end), batch_id (within the bucket), place and padding; other columns stay, the text if asked for."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     added = ("n_tokens", "bucket_len", "batch_id", "place", "padding")
     if clash := set(added) & set(docs.columns):
         docs = docs.drop(*clash)
     sized = docs.withColumn("n_tokens", n_words(F.col("text")))
+    if not keep_text:
+        sized = sized.drop("text")  # before rows are sorted
     hist = sized.where("n_tokens > 0").groupBy(length_class(F.col("n_tokens")).alias("len")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("len").toPandas()
     ends, _ = boundaries(hist.len.to_numpy(), hist.n.to_numpy(), hist.s.to_numpy(), buckets)
     up = F.lit(None).cast("long")

@@ -32,7 +32,7 @@ def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ownership_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(_table(spark, sf_dir, "documents")).drop("span_list")
+    return secrets.secret_spans(_table(spark, sf_dir, "documents")).drop("span_list", "_key")
 
 
 def op9_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from factloom.llm.shared import Scratch
+from factloom.llm.shared import Scratch, sieve
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(?a:((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -63,7 +63,7 @@ def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-_SCANNED = "_row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string>>, repo string, owner string"
+_SCANNED = "_row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string>>, repo string, owner string, _key long"
 
 
 def _scan(batches):
@@ -78,7 +78,7 @@ def _scan(batches):
             counts.append([sum(s[1] == k for s in base) for k in range(3)])
             digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
             found.append([{"start": a, "kind": k, "end": b, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, b, v in sorted(base + further_spans(text, base))])
-        cols = [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(3)], pa.array(digests, pa.string()), pa.array(found, kind), batch.column("repo"), batch.column("owner")]
+        cols = [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(3)], pa.array(digests, pa.string()), pa.array(found, kind), batch.column("repo"), batch.column("owner"), batch.column("_key")]
         row += n
         yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -86,10 +86,10 @@ def _scan(batches):
 def secret_spans(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """For each row of docs (doc_id, text, repository, owner): the counts, digests and ``spans``.
 
-    ``span_list`` has (start, kind, end, owners, repos, live) for each span; ``n_live`` and ``n_example`` count verdicts.
+    ``_key`` is a hash of id and text. ``span_list`` has (start, kind, end, owners, repos, live) for each span; ``n_live`` and ``n_example`` count verdicts.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    named = docs.select(F.col("doc_id").cast("long"), "text", F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64("doc_id", "text").alias("_key"))
     rows = scratch.table(named.mapInArrow(_scan, _SCANNED), "scanned")
     each = rows.where(F.size("found") > 0).select("_row", "repo", "owner", F.explode("found").alias("f")).select("_row", "repo", "owner", "f.*")
     # Distinct holders first, so a value in a third of all rows is a row for each task and holder.
@@ -109,12 +109,16 @@ def secret_spans(docs: DataFrame, repo_col: str = "source", owner_col: str = "so
     return out.withColumn("spans", F.array_join(F.transform("span_list", one), ",")).withColumn("n_live", count(True)).withColumn("n_example", count(False))
 
 
-def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with live-looking spans replaced by ``mark``; copied examples stay. Overlapping spans are replaced as one. Keeps docs' columns.
+def redact(docs: DataFrame, mark: str = "[SECRET]", repo_col: str = "source", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """docs, all rows and columns, with live-looking spans replaced by ``mark``; copied examples stay. Overlapping spans are replaced as one.
 
-    ``spans`` has doc_id (unique in docs) and span_list.
+    Rows meet their spans by a hash of id and text, so ids need not be unique. Only rows that may have live spans are
+    shuffled.
     """
-    live = spans.where("n_live > 0").select(F.col("doc_id").alias("_id"), F.filter("span_list", lambda s: s["live"]).alias("_spans"))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    spans = secret_spans(docs, repo_col, owner_col, example_owners)
+    live = spans.where("n_live > 0").select(F.col("_key").alias("_span_key"), F.filter("span_list", lambda s: s["live"]).alias("_spans")).dropDuplicates(["_span_key"])
+    live = Scratch(docs.sparkSession, "redact").table(live, "live")
 
     def cut(batches):
         for batch in batches:
@@ -131,5 +135,8 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFra
             keep = [c for c in batch.schema.names if c != "_spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep], keep)
 
-    both = docs.join(live, docs["doc_id"].eqNullSafe(live["_id"]), "left").drop("_id")
-    return both.mapInArrow(cut, docs.schema)
+    keyed = docs.withColumn("_own_key", key)
+    keyed = keyed.withColumn("_maybe", sieve(live, "_span_key")(F.col("_own_key")))
+    clean = keyed.where(~F.col("_maybe")).select(*docs.columns)
+    rest = keyed.where("_maybe").join(live, F.col("_own_key") == F.col("_span_key"), "left").select(*docs.columns, "_spans")
+    return clean.unionByName(rest.mapInArrow(cut, docs.schema))

@@ -58,7 +58,7 @@ def running_totals(df: DataFrame, scratch: Scratch, name: str, group: list[str],
     # The range-sorted rows are written once: sampled range bounds must not be drawn twice.
     dealt = df.repartitionByRange(partitions(spark), *keys, *order).withColumn("_p", F.spark_partition_id())
     dealt = scratch.table(dealt.sortWithinPartitions(*keys, *order), name)
-    local = Window.partitionBy("_p", *group).orderBy(*order)
+    local = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = dealt.groupBy("_p", *group).agg(F.sum(value).alias("_sum"))
     before = sums.select("_p", *group, (F.sum("_sum").over(Window.partitionBy(*group).orderBy("_p")) - F.col("_sum")).alias("_before"))
     before = before.select(F.col("_p").alias("_q"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_before")
