@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the session was started; on a cluster it's installed or in a shared path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 class Scratch:
     """Parquet tables of one query in the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -101,9 +111,17 @@ def frequent_grams(docs: DataFrame, n: int, lower: bool, at_least: int = 3, top:
     def count(batches):
         for batch in batches:
             found = [p.grams(n, p.hashes())[0] for p in pieces(batch.column("text"), lower)]
-            x, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            if not found:
+                continue
+            x = np.concatenate(found)
+            del found
+            x.sort()
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+            times = np.diff(np.append(at, len(x)))
             keep = times >= at_least
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["gram", "n"])
+            x, times = x[at[keep]], times[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
+            pa.default_memory_pool().release_unused()
 
     sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     sums = Scratch(docs.sparkSession, "frequent").table(sums, "sums")

@@ -4,9 +4,9 @@ A window is ``WINDOW`` consecutive words. Its minimiser is the least of its runs
 in which frequent runs come last. Consecutive windows with one minimiser travel together, as one packed string, to the
 minimiser's bucket; equal windows always meet there. In the bucket, windows are sorted by 128 bits of hash and counted.
 
-Packed strings that occur again within a batch are settled where they are: all their windows repeat, so each place is
+Packed strings that occur again within a lot (some megabytes of text) are settled where they are: all their windows repeat, so each place is
 told so at once and one string travels for all, marked as repeated. A group of copies therefore sends a string for each
-batch, not for each copy. Buckets are read one after another, sorted by the JVM, which spills.
+lot, not for each copy. Buckets are read one after another, sorted by the JVM, which spills.
 
 Edge cases: a null or empty text has no words and no windows; kept_sha256 is that of no bytes. Texts under the window
 length lose nothing. Repeated rows repeat each other, so both lose all their windows. Windows that overlap their own
@@ -28,8 +28,8 @@ from factloom.llm.shared import Scratch, frequent_grams, partitions, sieve
 from factloom.llm.words import Piece, gram_hash, mix, pieces
 
 WINDOW, RUN = 35, 4
-#: Windows in one packed string at most, and buckets of one partition.
-LONGEST, SHELVES = 512, 16
+#: Windows in one packed string at most, buckets of one partition, and bytes that are packed at once.
+LONGEST, SHELVES, LOT = 512, 16, 8 << 20
 _HOT = np.uint64(1 << 63)
 
 
@@ -86,7 +86,6 @@ def _deal(docs: DataFrame, window: int, run: int, frequent: np.ndarray, parts: i
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches):
-        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, keys = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), batch.column("_key").to_numpy(zero_copy_only=False)
             texts, cols, done = [], [], 0
@@ -96,49 +95,56 @@ def _deal(docs: DataFrame, window: int, run: int, frequent: np.ndarray, parts: i
                     continue
                 text, at = spaced(p)
                 last = first + size + window - 1
-                as_doc = Piece.__new__(Piece)
-                as_doc.data, as_doc._sums = text, None
-                content = as_doc.span_hash(at[first], at[last] - 1)
+                bytes_ = Piece(text, np.array([0, len(text)]), 0, False)
+                content = bytes_.span_hash(at[first], at[last] - 1)
                 doc = p.doc[first]
                 cols.append(np.rec.fromarrays([ids[p.first + doc], keys[p.first + doc], (first - p.first_word[doc]).astype(np.int32), size.astype(np.int32), (at[last] - 1 - at[first]).astype(np.int32), content, least, done + at[first]], names="id,key,start,size,len,content,least,at"))
                 texts.append(text)
                 done += len(text)
-            if not cols:
-                continue
-            text, rows = np.concatenate(texts).tobytes(), np.concatenate(cols)
-            # Strings that occur again in this batch.
-            order = np.argsort(rows["content"], kind="stable")
-            same = np.zeros(len(rows), bool)
-            a, b = rows[order[:-1]], rows[order[1:]]
-            hit = (a["content"] == b["content"]) & (a["len"] == b["len"]) & (a["size"] == b["size"])
-            for i in np.flatnonzero(hit):  # settled only after all bytes have been compared
-                x, y = a[i], b[i]
-                hit[i] = text[x["at"] : x["at"] + x["len"]] == text[y["at"] : y["at"] + y["len"]]
-            same[order[1:]] = hit
-            again = same.copy()
-            again[order[:-1]] |= hit
-            bucket = (mix(rows["least"]) % np.uint64(parts * SHELVES)).astype(np.int64)
-            out = []
-            settled = np.flatnonzero(again)
-            for part in np.unique(to := (mix(rows["id"][settled].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)):
-                mine = rows[settled[to == part]]
-                out.append((int(part), -1, len(mine), pack.compress(_meta(mine, np.ones(len(mine), bool))), b""))
-            sends = np.flatnonzero(~same)
-            sends = sends[np.argsort(bucket[sends], kind="stable")]
-            for mine in np.split(sends, np.flatnonzero(np.diff(bucket[sends])) + 1):
-                r = rows[mine]
-                words = b"".join([text[x : x + n] for x, n in zip(r["at"].tolist(), r["len"].tolist(), strict=True)])
-                k = int(bucket[mine[0]])
-                out.append((k // SHELVES, k % SHELVES, len(r), pack.compress(_meta(r, again[mine])), pack.compress(words)))
-                if len(out) >= 256:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                if done >= LOT:
+                    yield from _blobs(np.concatenate(texts).tobytes(), np.concatenate(cols), parts)
+                    texts, cols, done = [], [], 0
+            if cols:
+                yield from _blobs(np.concatenate(texts).tobytes(), np.concatenate(cols), parts)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(deal, "part int, shelf int, n int, meta binary, text binary")
 
 
+def _blobs(text: bytes, rows: np.recarray, parts: int):
+    """The rows of one lot, after strings that occur again in it have been settled."""
+    pack = zstandard.ZstdCompressor(level=3)
+    order = np.argsort(rows["content"], kind="stable")
+    same = np.zeros(len(rows), bool)
+    a, b = order[:-1], order[1:]
+    hit = (rows["content"][a] == rows["content"][b]) & (rows["len"][a] == rows["len"][b]) & (rows["size"][a] == rows["size"][b])
+    at, length = rows["at"], rows["len"]
+    for i in np.flatnonzero(hit).tolist():  # settled only after all bytes have been compared
+        x, y, n = at[a[i]], at[b[i]], length[a[i]]
+        hit[i] = text[x : x + n] == text[y : y + n]
+    same[b] = hit
+    again = same.copy()
+    again[a] |= hit
+    out = []
+    settled = np.flatnonzero(again)
+    to = (mix(rows["id"][settled].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    for part in np.unique(to):
+        mine = rows[settled[to == part]]
+        out.append((int(part), -1, len(mine), pack.compress(_meta(mine, np.ones(len(mine), bool))), b""))
+    bucket = (mix(rows["least"]) % np.uint64(parts * SHELVES)).astype(np.int64)
+    sends = np.flatnonzero(~same)
+    sends = sends[np.argsort(bucket[sends], kind="stable")]
+    for mine in np.split(sends, np.flatnonzero(np.diff(bucket[sends])) + 1):
+        words = b"".join([text[x : x + n] for x, n in zip(at[mine].tolist(), length[mine].tolist(), strict=True)])
+        k = int(bucket[mine[0]])
+        out.append((k // SHELVES, k % SHELVES, len(mine), pack.compress(_meta(rows[mine], again[mine])), pack.compress(words)))
+        if len(out) >= 256:
+            yield _batch(out)
+            out = []
+    if out:
+        yield _batch(out)
+
+
 def _batch(rows: list) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "shelf", "n", "meta", "text"])
@@ -198,7 +204,8 @@ def _count(window: int):
     def count(batches):
         shelf, blobs = None, []
         for batch in batches:
-            for s, n, m, t in zip(*(batch.column(c).to_pylist() for c in ("shelf", "n", "meta", "text")), strict=True):
+            for i in range(batch.num_rows):
+                s, n, m, t = (batch.column(c)[i].as_py() for c in ("shelf", "n", "meta", "text"))
                 if s != shelf or (s == -1 and len(blobs) >= 64):
                     if blobs:
                         yield shelf_of(blobs)
