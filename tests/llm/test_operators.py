@@ -1,0 +1,325 @@
+"""The ten operators against brute force, round trips and edge cases."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pandas as pd
+import pytest
+from compare import same
+from pyspark.sql import functions as F
+
+from factloom.llm import components, jaccard, language, lm, mixing, packing, quality, queries, secrets, shared, substrings, vectors, warc
+
+EMPTY = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(real):
+    return [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, duck, sf_dir, name):
+    same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df())
+
+
+# 1
+
+
+@pytest.mark.parametrize("hot", [24, 1])
+def test_jaccard(real, texts, hot):
+    assert sorted(map(tuple, jaccard.similar_groups(real, hot_level=hot).collect()), key=str) == brute.components(texts)
+
+
+def test_jaccard_edges(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(map(tuple, jaccard.similar_groups(docs).collect()), key=str) == brute.components(rows)
+    assert jaccard.similar_groups(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_jaccard_near_copies_in_one_large_bucket(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:55] + [f"x{k}"] + base[55:] if k % 2 else base[: 60 - k % 12])) for k in range(90)]
+    rows += [(1000 + k, " ".join(base[:25] + [f"y{k}z{i}" for i in range(9)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar_groups(df).collect()), key=str) == brute.components(rows)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (60, 100), (60, 50), (7, 7)]
+    got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long"), shared.Scratch(spark, "t"), "c").collect()))
+    assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 100: 50}
+    assert components.connected(spark.createDataFrame([], "a long, b long"), shared.Scratch(spark, "t"), "e").count() == 0
+
+
+# 2
+
+
+def test_warc_round_trip(spark):
+    tail = b"x" * 1000 + b"\r\n\r\n\r\n\r\n" + bytes(range(256))
+    rows = [(1, "u", b"a\r\n\r\n", 1), (2, None, b"\r\n\r\nx\r", 1), (3, "u", None, 1), (4, "u", b"\r", 1), (5, "u", b"\r\n\r", 1), (7, "u", tail, 1), (6, " a b", tail, 1), (8, "u", b"\r\n\r\n" * 60, 1), (9, "", b"short", 1), (10, "", b"short", 1), (11, "v", b"WARC/1.1\r\n", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary, digest int")
+    for chunk in (7, 100, 1 << 20):
+        got = {r.page_id: r for r in warc.archive_round_trip(pages, chunk=chunk).collect()}
+        assert len(got) == len(rows)
+        for i, _, x, _ in rows:
+            x = x or b""
+            want = ("revisit", 6) if i == 7 else ("response", None)
+            assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(x), hashlib.sha256(x).hexdigest(), *want)
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    with pytest.raises(Exception, match="needs an id"):
+        warc.archive_round_trip(spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")).count()
+
+
+def test_warc_notices_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, payload string").withColumn("payload", F.encode("payload", "UTF-8"))
+    warc.write_archives(warc.roles(pages), f"file://{tmp_path}/a", 64)
+    chunks = warc.read_archives(spark, f"file://{tmp_path}/a")
+    assert chunks.count() > 100 and warc.records_of(chunks).count() == 20
+    with pytest.raises(Exception, match="chunk"):
+        warc.records_of(chunks.where("NOT (page_id = 3 AND chunk_no = 2)")).count()
+
+
+# 3
+
+
+def test_substrings(real, texts):
+    assert sorted(map(tuple, substrings.remove_repeats(real).collect())) == sorted(brute.repeats(texts, 35))
+
+
+@pytest.mark.parametrize(("window", "run"), [(3, 2), (4, 2), (5, 4), (35, 4)])
+def test_substrings_edges(spark, docs, window, run):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(20, "a b c d e f a b c d e"), (21, "\n q  r\ts a b c d e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.remove_repeats(df, window, run).collect()), key=str) == sorted(brute.repeats(rows, window), key=str)
+
+
+def test_substrings_empty(spark):
+    assert substrings.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
+    kept = substrings.remove_repeats(spark.createDataFrame([(1, "a b c x"), (2, "a b c y")], "doc_id long, text string"), 3, 2, with_text=True)
+    assert sorted(r.kept_text for r in kept.collect()) == ["x", "y"]
+
+
+def test_rolling_min():
+    x = np.array([5, 3, 9, 1, 4, 8, 7, 2], np.uint64)
+    for w in range(1, 9):
+        assert substrings.rolling_min(x, w).tolist() == [min(x[i : i + w]) for i in range(len(x) - w + 1)]
+
+
+# 4
+
+
+def test_language(spark, real, docs, sf_dir):
+    got = queries.op4_language_filters(spark, sf_dir).toPandas().merge(real.select("doc_id", "lang").toPandas(), on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    held = got[got.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.95 and got.score.between(0, 1).all()
+    out = {r.doc_id: r for r in language.predict(docs, language.learn(docs)).collect()}
+    assert all(out[i].lang_pred == "und" for i in (4, 5, 6, 11)) and out[10].lang_pred in ("en", "de", "fr")
+    none = language.learn(spark.createDataFrame([], EMPTY))
+    assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
+    assert language.predict(spark.createDataFrame([], EMPTY), none).count() == 0
+
+
+def test_language_filters_miss_nothing():
+    grams = np.arange(500, dtype=np.uint64) * 37 % (1 << language.GRAM_BITS)
+    slots = np.zeros(1 << language.SLOT_BITS, np.uint64)
+    for j in range(language.HASHES):
+        np.bitwise_or.at(slots, language.slot(grams, j), np.uint64(4))
+    masks = np.bitwise_and.reduce([slots[language.slot(grams, j)] for j in range(language.HASHES)])
+    assert (masks & 4 == 4).all()
+
+
+# 5
+
+
+def test_boundaries():
+    rng = np.random.default_rng(1)
+    from itertools import combinations
+
+    for buckets in (1, 2, 3, 4, 9):
+        n = rng.choice(60, 7, replace=False) + 1
+        n.sort()
+        c = rng.integers(1, 9, 7)
+        ends, cost = packing.boundaries(n, c, n * c, buckets)
+        pad = lambda e: sum(k * (min(x for x in e if x >= m) - m) for m, k in zip(n, c, strict=True))
+        best = min(pad((*e, n[-1])) for r in range(min(buckets, 7)) for e in combinations(n[:-1], r))
+        assert cost == best == pad(ends) and len(ends) <= buckets
+    assert packing.boundaries(*[np.array([], int)] * 3) == ([], 0)
+
+
+def test_packing(spark, real, docs):
+    for df in (real, docs):
+        got = packing.pack(df.select("doc_id", "text"), budget=4096).toPandas()
+        words = Counter((d, len(brute.WORD.findall(t or ""))) for d, t in df.select("doc_id", "text").collect())
+        assert Counter((None if pd.isna(d) else int(d), int(n)) for d, n in zip(got.doc_id, got.n_tokens, strict=True)) == words
+        full = got[got.n_tokens > 0]
+        assert got[got.n_tokens == 0].batch_id.isna().all() and (full.padding >= 0).all()
+        for (end, _), g in full.groupby(["bucket_len", "batch_id"]):
+            assert sorted(g.place) == list(range(len(g))) and (len(g) * end <= 4096 or len(g) == 1)
+        sizes = full.groupby("bucket_len").batch_id.agg(["max", "nunique"])
+        assert (sizes["max"] + 1 == sizes["nunique"]).all()
+    assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+# 6
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == docs.count() and (got.taken <= 3 * got["size"]).all()
+    by = got.groupby("source", dropna=False).agg(size=("source_size", "first"), target=("target", "first"), own=("size", "sum"))
+    assert (by["size"] == by.own).all() and (by.target <= 3 * by["size"] + 1e-9).all() and math.isclose(by.target.sum(), got["size"].sum())
+    same(got, mixing.mix_sources(docs.repartition(3)).toPandas())
+    assert mixing.mix_sources(spark.createDataFrame([], EMPTY)).count() == 0
+    none = mixing.mix_sources(spark.createDataFrame([(1, None, "en", "a"), (2, "", "en", "b")], EMPTY)).toPandas()
+    assert none.taken.tolist() == [0, 0]
+
+
+def test_mixing_takes_near_the_targets(spark, real):
+    got = mixing.mix_sources(real).toPandas()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.most).all()
+
+
+def test_running_totals(spark):
+    rows = [(k % 3 if k % 5 else None, k * 7 % 100, k) for k in range(200)]
+    df = spark.createDataFrame(rows + rows[:5], "g int, o long, v long")
+    got = shared.running_totals(df, shared.Scratch(spark, "t"), "r", ["g"], [F.col("o"), F.col("v")], "v", "total").toPandas()
+    want = defaultdict(list)
+    for g, o, v in sorted(rows + rows[:5], key=lambda r: (r[1], r[2])):
+        want[g].append((want[g][-1] if want[g] else 0) + v)
+    for g, part in got.groupby("g", dropna=False):
+        assert sorted(part.total) == sorted(want[None if pd.isna(g) else int(g)])
+
+
+# 7
+
+
+@pytest.mark.parametrize("top", [lm.TOP, 500])
+def test_class_lm(real, texts, top):
+    got = lm.class_lm(real, language.held_out(F.col("doc_id"), 7, 2), top=top).toPandas().set_index("doc_id")
+    tokens = {d: [*brute.WORD.findall(brute.low(t or "")), None] for d, t in texts}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    c = Counter(w for d, t in tokens.items() if not held[d] for w in t)
+    n, v = sum(c.values()), len(c)
+    for d, t in tokens.items():
+        r = got.loc[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, held[d])
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+    out = got[got.held_out]
+    assert out.score.sum() > out.base_score.sum() and (got.score < 0).all()
+
+
+def test_class_lm_edges(spark, docs):
+    got = lm.class_lm(docs, F.lit(False)).collect()
+    assert len(got) == docs.count() and {r.n_tokens for r in got if r.doc_id in (4, 5, 6)} == {1}
+    assert all(math.isfinite(r.score) for r in got)
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in lm.class_lm(docs, F.lit(True)).collect())
+    assert lm.class_lm(spark.createDataFrame([], EMPTY), F.lit(False)).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(0)
+    b = np.zeros((41, 41), np.int64)
+    for _ in range(20_000):  # evens follow odds, odds follow evens
+        u = rng.integers(1, 41)
+        b[u, rng.integers(0, 20) * 2 + 1 + u % 2] += 1
+    of = lm.exchange(b, 3)
+    assert of[0] == 0 and len(set(of[1::2])) == len(set(of[2::2])) == 1 and of[1] != of[2]
+
+
+# 8
+
+
+def test_secrets_base(spark, real, docs):
+    key = "AKIA" + "Q7" * 8
+    odd = [(50, "secret=token:abcdefgh token=secret=abcdefgh ſecret=abcdefgh API_KEY: 'zzzzzz'", "en", "a", 0), (51, f"é日 {key} {key}x {'af' * 12} apikey=\"{'0f' * 20}\"", "en", "b", 0), (52, "password=" + "a" * 50_000, "en", "b", 0)]
+    for df in (real, docs.unionByName(spark.createDataFrame(odd, docs.schema))):
+        texts = [(r.doc_id, r.text) for r in df.collect()]
+        got = secrets.secret_spans(df).collect()
+        assert len(got) == len(texts)
+        want = Counter((d, *[n[k] for k in ("assign", "access", "hex")], hashlib.sha256(s.encode()).hexdigest()) for d, t in texts for s, n in [brute.base_spans(t)])
+        assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+        for r in got:
+            mine = [s for s in r.spans.split(",") if s and not s.startswith("live:")]
+            assert hashlib.sha256(",".join(mine).encode()).hexdigest() == r.base_sha256
+    assert secrets.secret_spans(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_secrets_ownership(spark):
+    common, own = "Zx9Qw8Er7Ty6Ui5Op4As3D", "Mn1Bv2Cx3Zl4Kj5Hg6Fd7S"
+    rows = [(k, f"see {common} here", "en", f"s{k}") for k in range(6)] + [(10, f"see {own} and password=hunter2hunter2", "en", "s1")]
+    df = spark.createDataFrame(rows, EMPTY)
+    got = {r.doc_id: r for r in secrets.secret_spans(df).collect()}
+    assert all(got[k].spans == "" for k in range(6))
+    assert got[10].spans == "live:4:26,assign:31:54" and got[10].n_live == 2
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[10] == "see [SECRET] and [SECRET]" and out[0] == rows[0][1] and len(out) == 7
+
+
+# 9
+
+
+def _top(rows, every=20, k=20):
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    return [(q, n + 1, i, -s) for q, v in ok if q % every == 0 for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:k])]
+
+
+@pytest.mark.parametrize(("block", "query_block", "scale"), [(4096, 1024, 1), (50, 3, 1), (4096, 1024, 1e12)])
+def test_top_k(spark, block, query_block, scale):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) * scale for x in np.round(rng.normal(size=40) * rng.random(40), 2)]) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(30)] + [(400, None), (420, [None] * 40), (440, [float("nan")] * 40), (460, [float("inf")] * 40), (None, rows[1][1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    if scale == 1:
+        got = vectors.top_k(df, block=block, query_block=query_block).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(_top(rows))
+    else:  # sums beyond a long raise rather than wrap
+        with pytest.raises(Exception):  # noqa: B017
+            vectors.top_k(df, block=block, query_block=query_block).collect()
+    assert vectors.top_k(df.limit(0)).count() == 0
+    if scale == 1:
+        assert vectors.top_k(df.where("vec_id < 3")).count() == 2
+
+
+# 10
+
+
+def test_quality_counts(real, docs):
+    for df in (real, docs):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = quality.quality_rules(df).collect()
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((d, *brute.counts(t)) for d, t in rows)
+        assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in got)
+
+
+def test_quality_keeps_clean_documents(spark, real, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = queries.op10_line_field(spark, sf_dir).toPandas().merge(labels.toPandas(), on="doc_id")
+    got = got[~got.base_failed]
+    assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.5
+    assert (quality.fit(real, labels.limit(0)) == quality.DEFAULT).all()
+    assert quality.quality_rules(spark.createDataFrame([], EMPTY)).count() == 0
+
+
+def test_viterbi():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(8), [1, 5, 2, 7, 3, 1, 6, 4])
+    x, w = rng.normal(size=(len(doc), 3)), rng.normal(size=7)
+    mark = quality.viterbi(x, doc, w)
+    for d in range(8):
+        e = x[doc == d] @ w[:3]
+        score = lambda y: sum(e[i] * y[i] for i in range(len(y))) + sum(w[3 + 2 * a + b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        assert math.isclose(score([int(m) for m in mark[doc == d]]), max(score(y) for y in product((0, 1), repeat=len(e))))
