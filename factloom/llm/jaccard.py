@@ -1,14 +1,14 @@
 """Near-duplicate join on the Jaccard similarity of word shingles, by grouped prefixes.
 
 1. Shingles are ordered rare to frequent (frequent ones by counts within batches; any one order gives right results).
-   Two sets that are similar enough share a shingle among the first n - ceil(t n) + 1 of each.
+   Two sets that are similar enough share ``COMMON`` shingles among the first n - ceil(t n) + COMMON of each.
 2. Documents with the same prefix and set size are one group, so copies cost one group; only groups travel, as packed
    (shingle, group) entries.
-3. Where a shingle meets few groups, all pairs of groups with fitting sizes are candidates. Where it meets many, each
-   meets a leader first; only what is then still in different components is paired, so a large group of near copies
-   costs a star and not its square. No pair that could connect two components is left out.
-4. Candidate groups expand to their distinct sets, whose whole shingle sets are compared.
-5. Links between distinct sets give components; copies join theirs at the end.
+3. The groups that share a shingle are a bucket; sizes and the shingle's places in the sets filter its pairs. Buckets expand to the groups' distinct sets.
+4. Each set first meets one leader of its buckets; whole shingle sets are compared, and links give components. Then all
+   pairs of a bucket that are still in different components are compared. A large group of near copies thus costs a star
+   and not its square, and no pair that could connect two components is left out.
+5. Copies join the component of their set at the end.
 
 Shingles are 64-bit hashes in candidate search and 48-bit hashes in comparisons of two sets; sets are told apart by 128
 bits.
@@ -30,8 +30,8 @@ from factloom.llm.shared import Scratch, frequent_grams, partitions, sieve
 from factloom.llm.words import Piece, gram_hash, mix, pieces
 
 SHINGLE, PERCENT = 5, 75
-#: A shingle of more groups than this is searched through leaders.
-FEW = 8
+#: Shingles that prefixes of similar sets share at least (all that must be shared, in small sets).
+COMMON = 4
 #: Frequent shingles of this level (1 + 3 for each doubling of the count) or more skip the gathering by shingle: they go to the leaders at once.
 HOT_LEVEL = 24
 
@@ -72,7 +72,8 @@ def shingle_sets(p: Piece, order: Order, n: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+    least = -(-n * percent // 100)  # what any partner shares
+    return n - least + np.minimum(least, COMMON)
 
 
 def digests(key: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,12 +102,12 @@ def _sets(order, percent: int, n: int):
 
 
 def _entries(order, percent: int, n: int, parts: int, hot: int):
-    """Rows (part, entries): shingle keys, groups and sizes of all prefixes of a batch, by part; each group once in a batch."""
+    """Rows (part, entries): shingle keys, groups and places (at most 65535) of all prefixes of a batch, by part; each group once in a batch."""
 
     def entries(batches):
         for batch in batches:
             seen: set[int] = set()
-            tokens, groups, sizes = [], [], []
+            tokens, groups, places = [], [], []
             valid = ~np.asarray(batch.column("doc_id").is_null())
             for p in pieces(batch.column("text"), lower=True):
                 key, bounds = shingle_sets(p, order.value, n)
@@ -121,23 +122,21 @@ def _entries(order, percent: int, n: int, parts: int, hot: int):
                 at = np.arange(length.sum()) + np.repeat(bounds[new] - np.cumsum(length) + length, length)
                 tokens.append(key[at])
                 groups.append(np.repeat(g[new], length))
-                sizes.append(np.repeat(size[new], length))
+                places.append(np.minimum(at - np.repeat(bounds[new], length), 65535).astype(np.uint16))
             if not tokens:
                 continue
-            token, group, size = np.concatenate(tokens), np.concatenate(groups), np.concatenate(sizes).astype(np.uint32)
+            token, group, place = np.concatenate(tokens), np.concatenate(groups), np.concatenate(places)
             common = (token >> np.uint64(58)) >= np.uint64(hot)
             part = (mix(np.where(common, token + group, token)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            token, group, size, part = token[by], group[by], size[by], part[by]
+            token, group, place, part = token[by], group[by], place[by], part[by]
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
             blobs = []
             for k in full:
                 one = slice(cut[k], cut[k + 1])
                 names, which = np.unique(group[one], return_inverse=True)
-                size_of = np.zeros(len(names), np.uint32)
-                size_of[which] = size[one]
-                blobs.append(np.array([len(names), cut[k + 1] - cut[k]], np.uint32).tobytes() + names.tobytes() + size_of.tobytes() + token[one].tobytes() + which.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes())
+                blobs.append(np.array([len(names), cut[k + 1] - cut[k]], np.uint32).tobytes() + names.tobytes() + token[one].tobytes() + place[one].tobytes() + which.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "entries"])
 
     return entries
@@ -146,33 +145,34 @@ def _entries(order, percent: int, n: int, parts: int, hot: int):
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     g, n = np.frombuffer(blob, np.uint32, 2).tolist()
     names = np.frombuffer(blob, np.uint64, g, 8)
-    size = np.frombuffer(blob, np.uint32, g, 8 + 8 * g)
-    token = np.frombuffer(blob, np.uint64, n, 8 + 12 * g)
-    which = np.frombuffer(blob, np.uint16 if g < 65536 else np.uint32, n, 8 + 12 * g + 8 * n)
-    return token, names[which], size[which]
+    token = np.frombuffer(blob, np.uint64, n, 8 + 8 * g)
+    place = np.frombuffer(blob, np.uint16, n, 8 + 8 * g + 8 * n)
+    which = np.frombuffer(blob, np.uint16 if g < 65536 else np.uint32, n, 8 + 8 * g + 10 * n)
+    return token, names[which], place
 
 
-def _candidates(percent: int, few: int, hot: int):
-    """From the entries of a part to rows (bucket, a, b, n): pairs of groups (bucket null) or members of large buckets (b null)."""
+def _buckets(hot: int):
+    """From the entries of a part to rows (bucket, grp, place, k): the groups that share k shingles, each with its least place.
 
-    def emit(bucket, a, b, n):
-        size = max(len(x) for x in (bucket, a, b, n) if x is not None)
-        cols = [pa.array(x.view(np.int64)) if x is not None else pa.nulls(size, pa.int64()) for x in (bucket, a, b)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)) if n is not None else pa.nulls(size, pa.int64())], ["bucket", "a", "b", "n"])
+    Shingles that the same groups share are one bucket, named after the groups.
+    """
 
-    def candidates(batches):
+    def emit(bucket, group, place, k):
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(group.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32))], ["bucket", "grp", "place", "k"])
+
+    def buckets(batches):
         got = []
         for batch in batches:
             for blob in batch.column("entries"):
-                token, group, size = _unpack(blob.as_py())
+                token, group, place = _unpack(blob.as_py())
                 common = (token >> np.uint64(58)) >= np.uint64(hot)
                 if common.any():
-                    yield emit(token[common], group[common], None, size[common])
-                    token, group, size = token[~common], group[~common], size[~common]
-                got.append((token, group, size))
+                    yield emit(token[common], group[common], place[common], np.ones(int(common.sum())))
+                    token, group, place = token[~common], group[~common], place[~common]
+                got.append((token, group, place))
         if not got:
             return
-        token, group, size = (np.concatenate(x) for x in zip(*got, strict=True))
+        token, group, place = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
         by = np.argsort(token)
         token = token[by]
@@ -180,33 +180,28 @@ def _candidates(percent: int, few: int, hot: int):
         keep = np.zeros(len(token), bool)  # a shingle of one entry pairs nothing
         keep[1:] |= same
         keep[:-1] |= same
-        by, token = by[keep], token[keep]
-        group, size = group[by], size[by]
-        by = np.lexsort((group, token))
-        token, group, size = token[by], group[by], size[by]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-        token, group, size = token[new], group[new], size[new]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-        times = np.repeat(np.diff(np.append(start, len(token))), np.diff(np.append(start, len(token))))
-        large = times > few
-        if large.any():
-            yield emit(token[large], group[large], None, size[large])
-        token, group, size = token[~large], group[~large], size[~large]
-        pairs = []
-        for k in range(1, few):  # entries k apart under one shingle
-            if len(token) <= k:
-                break
-            ok = token[k:] == token[:-k]
-            x, y = size[k:].astype(np.int64), size[:-k].astype(np.int64)
-            ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            pairs.append(np.stack([group[:-k][ok], group[k:][ok]], 1))
-        if pairs:
-            both = np.unique(np.concatenate(pairs), axis=0)
-            if len(both):
-                yield emit(None, np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), None)
-
-    return candidates
+        token, group, place = token[keep], group[by[keep]], place[by[keep]]
+        token, group, place, _ = _least(token, group, place)
+        if not len(token):
+            return
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(group), dtype=np.uint64)])
+            name = mix(sums[start + size] - sums[start] + size.astype(np.uint64))
+        several = np.repeat(size > 1, size)
+        yield emit(*_least(np.repeat(name, size)[several], group[several], place[several]))
+
+    return buckets
+
+
+def _least(bucket: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each (bucket, group) once, sorted, with its least place and how often it came."""
+    by = np.lexsort((place, group, bucket))
+    bucket, group, place = bucket[by], group[by], place[by]
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1])
+    return bucket[new], group[new], place[new], np.diff(np.append(np.flatnonzero(new), len(bucket)))
 
 
 def _pack48(order, n: int):
@@ -245,7 +240,7 @@ def _compare(percent: int):
     return compare
 
 
-def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, few: int = FEW, hot_level: int = HOT_LEVEL) -> DataFrame:
+def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, hot_level: int = HOT_LEVEL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "jaccard"), partitions(spark)
@@ -255,24 +250,18 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     real = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.table(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("grp").alias("grp")), "reps")
     dealt = docs.mapInArrow(_entries(order, percent, shingle, parts, hot_level), "part int, entries binary").repartitionById(parts, F.col("part"))
-    found = scratch.table(dealt.mapInArrow(_candidates(percent, few, hot_level), "bucket long, a long, b long, n long"), "found")
-    fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    # Expand: pairs of groups to pairs of sets; members of large buckets; sets that share a group.
-    by_group = reps.select("grp", "rep")
-    pairs = found.where("bucket IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(by_group.select(F.col("grp").alias("a"), F.col("rep").alias("x")), "a").join(by_group.select(F.col("grp").alias("b"), F.col("rep").alias("y")), "b")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    large = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("grp")).distinct().join(reps.select("grp", "rep", "n"), "grp").select("bucket", "rep", "n")
-    shared = reps.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    large = large.unionByName(reps.join(shared, "grp").select(F.xxhash64("grp", F.lit("group")).alias("bucket"), "rep", "n"))
+    found = scratch.table(dealt.mapInArrow(_buckets(hot_level), "bucket long, grp long, place int, k int"), "found")
+
+    # Expand groups to their distinct sets; sets that share a group are a bucket too.
+    shared = reps.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("grp", F.lit("group")).alias("bucket"), "grp", F.lit(0).alias("place"), F.lit(COMMON).cast("long").alias("k"))
+    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.sum("k").alias("k")).unionByName(shared).join(reps.select("grp", "rep", "n"), "grp")
     # A size class holds sizes within the ratio; a class's members meet its leader and the one of the class below.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    large = scratch.table(large.withColumn("c", size_class), "large")
-    leaders = large.groupBy("bucket", "c").agg(F.min(F.struct("rep", "n")).alias("l"))
-    near = large.unionByName(large.withColumn("c", F.col("c") - 1)).join(leaders, ["bucket", "c"]).where(F.col("rep") != F.col("l.rep"))
-    stars = near.where(fit(F.col("n"), F.col("l.n"))).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-    tried = scratch.table(pairs.unionByName(stars).distinct(), "tried")
+    held = scratch.table(held.select("bucket", "rep", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c")), "held")
+    scratch.drop("found")
+
+    fits = lambda n, m, room: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))  # noqa: E731  all that is shared lies from the first common shingle on
+    share = lambda n, m: F.least(F.lit(COMMON), F.ceil(n * percent / 100), F.ceil(m * percent / 100))  # noqa: E731  what prefixes share
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         needed = sieve(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k")
@@ -284,15 +273,26 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
         scratch.drop(f"{name}-grams")
         return links
 
-    links = verify(tried, "first")
-    comps = scratch.table(connected(links, scratch, "stars"), "comps")
-    # What large buckets still hold in different components.
-    placed = large.join(comps, large["rep"] == comps["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # First each set meets one leader, the least of those that its buckets offer.
+    leaders = held.groupBy("bucket", "c").agg(F.min(F.struct("rep", "n", "room")).alias("l"))
+    near = held.unionByName(held.withColumn("c", F.col("c") - 1)).join(leaders, ["bucket", "c"]).where(F.col("l.rep") < F.col("rep"))
+    near = near.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("l.n").alias("m"), "k", F.least("room", "l.room").alias("room"))
+    near = near.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"), F.max("room").alias("room"))
+    near = near.where(fits(F.col("n"), F.col("m"), F.col("room")) & (F.col("k") >= share(F.col("n"), F.col("m"))))
+    tried = scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    comps = scratch.table(connected(verify(tried, "first"), scratch, "stars"), "comps")
+    # Then all that buckets still hold in different components.
+    placed = held.join(comps, held["rep"] == comps["node"], "left").select("bucket", "rep", "n", "room", "k", F.coalesce("component", "rep").alias("comp"))
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("bucket")
-    placed = placed.join(open_, "bucket")
-    other = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    rest = placed.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fit(F.col("n"), F.col("n2")))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    placed = scratch.table(placed.join(open_, "bucket"), "placed")
+    other = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("comp").alias("comp2"))
+    rest = placed.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("n2"), F.least("room", "room2")))
+    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), share(F.col("n"), F.col("n2")).alias("least")).distinct()
+    # The buckets that both are in count the shingles their prefixes share.
+    lists = placed.groupBy("rep").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
+    rest = rest.join(lists.select(F.col("rep").alias("a"), F.col("have").alias("x")), "a").join(lists.select(F.col("rep").alias("b"), F.col("have").alias("y")), "b")
+    both = F.aggregate(F.array_intersect("x", "y"), F.lit(0).cast("long"), lambda total, bucket: total + bucket["k"])
+    rest = rest.where(both >= F.col("least")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     rest = scratch.table(rest, "rest")
     if rest.take(1):
         more = verify(rest, "second")
