@@ -154,7 +154,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _buckets(hot: int):
     """From the entries of a part to rows (bucket, grp, place, k): the groups that share k shingles, each with its least place.
 
-    Shingles that the same groups share are one bucket, named after the groups.
+    Shingles that the same groups share are one bucket, named after the groups. A hot shingle is a bucket of its own; its
+    rows, one for each batch that holds the group, have k = 0 and count 1 together.
     """
 
     def emit(bucket, group, place, k):
@@ -167,7 +168,7 @@ def _buckets(hot: int):
                 token, group, place = _unpack(blob.as_py())
                 common = (token >> np.uint64(58)) >= np.uint64(hot)
                 if common.any():
-                    yield emit(token[common], group[common], place[common], np.ones(int(common.sum())))
+                    yield emit(token[common], group[common], place[common], np.zeros(int(common.sum())))
                     token, group, place = token[~common], group[~common], place[~common]
                 got.append((token, group, place))
         if not got:
@@ -254,7 +255,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
 
     # Expand groups to their distinct sets; sets that share a group are a bucket too.
     shared = reps.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("grp", F.lit("group")).alias("bucket"), "grp", F.lit(0).alias("place"), F.lit(COMMON).cast("long").alias("k"))
-    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.sum("k").alias("k")).unionByName(shared).join(reps.select("grp", "rep", "n"), "grp")
+    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.greatest(F.sum("k"), F.lit(1)).alias("k")).unionByName(shared).join(reps.select("grp", "rep", "n"), "grp")
     # A size class holds sizes within the ratio; a class's members meet its leader and the one of the class below.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     held = scratch.table(held.select("bucket", "rep", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c")), "held")
@@ -288,7 +289,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     other = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("comp").alias("comp2"))
     rest = placed.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("n2"), F.least("room", "room2")))
     rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), share(F.col("n"), F.col("n2")).alias("least")).distinct()
-    # The buckets that both are in count the shingles their prefixes share.
+    # The buckets that both are in count the shingles their prefixes share; a bucket's k is the same for all its groups.
     lists = placed.groupBy("rep").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
     rest = rest.join(lists.select(F.col("rep").alias("a"), F.col("have").alias("x")), "a").join(lists.select(F.col("rep").alias("b"), F.col("have").alias("y")), "b")
     both = F.aggregate(F.array_intersect("x", "y"), F.lit(0).cast("long"), lambda total, bucket: total + bucket["k"])

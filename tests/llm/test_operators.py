@@ -54,6 +54,22 @@ def test_jaccard_near_copies_in_one_large_bucket(spark):
     assert sorted(map(tuple, jaccard.similar_groups(df).collect()), key=str) == brute.components(rows)
 
 
+def test_jaccard_group_in_many_batches(spark):
+    # Copies of a in every batch, a near copy in one; both first meet the dissimilar head, whose id is less.
+    word = lambda w, n: [f"{w}{i}" for i in range(n)]
+    passage, tail, other = word("s", 40), word("a", 24), word("h", 25)
+    a, head = " ".join(passage + tail), " ".join(passage + other)
+    rows = [(1 + k, head) for k in range(80)] + [(1000 + k, a) for k in range(80)]
+    rows += [(2000 + k, " ".join(tail)) for k in range(300)] + [(3000 + k, " ".join(other)) for k in range(300)]
+    np.random.default_rng(2).shuffle(rows)
+    rows = [(int(d), str(t)) for d, t in rows] + [(9000, a.replace("a23", "end"))]
+    want = brute.components(rows)
+    assert dict((d, c) for d, _, c in want)[9000] == 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (24, 1):
+        assert sorted(map(tuple, jaccard.similar_groups(df, hot_level=hot).collect()), key=str) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (60, 100), (60, 50), (7, 7)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(edges, "a long, b long"), shared.Scratch(spark, "t"), "c").collect()))
