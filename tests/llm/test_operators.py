@@ -254,6 +254,36 @@ def test_exchange_finds_classes():
     assert of[0] == 0 and len(set(of[1::2])) == len(set(of[2::2])) == 1 and of[1] != of[2]
 
 
+def test_best_classes_gain_most():
+    rng = np.random.default_rng(4)
+    b = rng.integers(0, 9, (14, 14))
+    of = np.array([0, *rng.integers(1, 5, 13)])
+    likely = lambda of: lm._xlogx(np.eye(5)[of].T @ b @ np.eye(5)[of]).sum() - sum(lm._xlogx(np.eye(5)[of].T @ b.sum(k)).sum() for k in (0, 1))
+    for u in range(14):  # equal row and column sums, as in chains
+        d = int(b[u].sum() - b[:, u].sum())
+        b[u, 0], b[0, u] = b[u, 0] + max(-d, 0), b[0, u] + max(d, 0)
+    one = np.eye(5, dtype=int)[of]
+    got = lm.best_classes(one.T @ b @ one, of, b @ one, b.T @ one, np.diag(b))
+    for u in range(1, 14):
+        at = [likely(np.where(np.arange(14) == u, k, of)) for k in range(1, 5)]
+        assert math.isclose(at[got[u] - 1], max(at))
+
+
+def test_class_lm_joined_classes_are_those_sent(real):
+    a, b = (lm.class_lm(real, language.held_out(F.col("doc_id"), 7, 2), top=top).toPandas().set_index("doc_id").score for top in (lm.TOP, 1200))
+    assert (a - b).abs().max() < 1e-8
+
+
+def test_class_lm_places_words_beyond_the_first_units(spark):
+    # 2000 words of one ending: evens follow odds, odds follow evens.
+    rng = np.random.default_rng(6)
+    rows = [(d, " ".join(f"w{2 * rng.integers(0, 1000) + k % 2}xyz" for k in range(200))) for d in range(200)]
+    rows += [(1000, "w1998xyz w1999xyz " * 50), (1001, "w1998xyz w1996xyz " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [lm.class_lm(df, F.col("doc_id") >= 1000, top=top).toPandas().set_index("doc_id").score for top in (lm.TOP, 1100)]
+    assert all(s.loc[1000] - s.loc[1001] > 50 for s in got)  # classes tell which order is usual, for joined words too
+
+
 # 8
 
 
