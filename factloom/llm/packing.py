@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
 One histogram of lengths over the whole corpus goes to the driver: exact up to ``EXACT`` tokens, then in classes of 1/32
-of their size, so it has a few thousand entries at most, whatever the corpus. Dynamic programming over it chooses the
-bucket boundaries with the least padding. Inside a bucket, documents in hash order form batches whose padded size keeps
+of their size, so it has a few thousand entries at most, whatever the corpus. A class ends at the greatest length that
+occurs in it. Dynamic programming over these ends chooses the bucket boundaries with the least padding; up to ``EXACT``
+they are all lengths, above it a boundary inside a class is not considered. Inside a bucket, documents in hash order form batches whose padded size keeps
 to the token budget; places in a bucket come from distributed running counts.
 
 Edge cases: a null or empty text has length 0 and is in no batch (bucket, batch and place null). A document longer than
@@ -75,8 +76,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, keep_tex
     sized = docs.withColumn("n_tokens", n_words(F.col("text")))
     if not keep_text:
         sized = sized.drop("text")  # before rows are sorted
-    hist = sized.where("n_tokens > 0").groupBy(length_class(F.col("n_tokens")).alias("len")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("len").toPandas()
-    ends, _ = boundaries(hist.len.to_numpy(), hist.n.to_numpy(), hist.s.to_numpy(), buckets)
+    hist = sized.where("n_tokens > 0").groupBy(length_class(F.col("n_tokens")).alias("len")).agg(F.max("n_tokens").alias("most"), F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("len").toPandas()
+    ends, _ = boundaries(hist.most.to_numpy(), hist.n.to_numpy(), hist.s.to_numpy(), buckets)
     up = F.lit(None).cast("long")
     for end in reversed(ends):
         up = F.when(F.col("n_tokens") <= end, F.lit(end).cast("long")).otherwise(up)

@@ -187,6 +187,14 @@ def test_packing(spark, real, docs):
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_packing_ends_are_lengths_that_occur(spark):
+    n = [2049, 2051, 3000, 3001, 5003, 9001, 9002]
+    df = spark.createDataFrame([(k, "x " * m) for k, m in enumerate(n)], "doc_id long, text string")
+    got = packing.pack(df, buckets=3).toPandas()
+    # Lengths of one class stay together; the best three ends of those that classes allow.
+    assert set(got.bucket_len) == {3001, 5003, 9002} and got.padding.sum() == 952 + 950 + 1 + 1
+
+
 # 6
 
 
