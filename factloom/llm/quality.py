@@ -151,7 +151,10 @@ def train(features: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> np.ndarray:
-    """Learn from at most ``max_docs`` labelled documents, those of the smallest hashes, and ``max_lines`` lines of each."""
+    """Learn from at most ``max_docs`` labelled documents, those of the smallest hashes, and ``max_lines`` lines of each.
+
+    Of a longer document these are 4 runs of lines, one drawn by hash from each quarter; a run is a sequence of its own.
+    """
     few = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_docs)
     picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # max_docs rows at most
@@ -163,14 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_
             for p in pieces(batch.column("text")):
                 x = Lines(p)
                 place = np.arange(len(x.doc)) - np.searchsorted(x.doc, x.doc)
-                use = place < max_lines
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p.first + x.doc[use]]), pa.array(place[use]), pa.array((label[p.first + x.doc[use]] == 1).astype(np.int64)), pa.array(list(x.features[use]), pa.list_(pa.float64()))], ["doc_id", "place", "label", "x"])
-
-    got = picked.mapInArrow(lines, "doc_id long, place long, label long, x array<double>").toPandas()
+                n = np.bincount(x.doc, minlength=p.n_docs)[x.doc]
+                quarter = np.minimum(4 * place // np.maximum(n, 1), 3)
+                first, end = -(-quarter * n // 4), -(-(quarter + 1) * n // 4)
+                run = max(max_lines // 4, 1)
+                seed = (ids.astype(np.int64).astype(np.uint64)[p.first + x.doc] << np.uint64(2)) + quarter.astype(np.uint64)
+                start = first + (mix(seed) % np.maximum(end - first - run + 1, 1).astype(np.uint64)).astype(np.int64)
+                use = (n <= max_lines) | ((place >= start) & (place < start + run))
+                quarter[n <= max_lines] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p.first + x.doc[use]]), pa.array(quarter[use]), pa.array(place[use]), pa.array((label[p.first + x.doc[use]] == 1).astype(np.int64)), pa.array(list(x.features[use]), pa.list_(pa.float64()))], ["doc_id", "run", "place", "label", "x"])
+
+    got = picked.mapInArrow(lines, "doc_id long, run long, place long, label long, x array<double>").toPandas()
     if got.empty:
         return DEFAULT
     got = got.sort_values(["doc_id", "place"], kind="stable").drop_duplicates(["doc_id", "place"])
-    return train(np.stack(got.x), got.doc_id.to_numpy(), got.label.to_numpy())
+    return train(np.stack(got.x), got.groupby(["doc_id", "run"]).ngroup().to_numpy(), got.label.to_numpy())
 
 
 def quality_rules(docs: DataFrame, weights: np.ndarray = DEFAULT, min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5) -> DataFrame:

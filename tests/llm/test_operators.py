@@ -366,6 +366,16 @@ def test_quality_keeps_clean_documents(spark, real, sf_dir):
     assert quality.quality_rules(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_quality_learns_from_whole_documents(spark, monkeypatch):
+    rows = [(k, "\n".join(["plain words of a line"] * 150 + ["# | # | #"] * 50)) for k in range(9)] + [(9, "one\ntwo")]
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, doc, label: seen.append((x, doc)))
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int"))
+    x, seq = seen[0]
+    assert len(x) == 9 * quality.MAX_TRAIN_LINES + 2 and len(set(seq)) == 9 * 4 + 1 and (np.diff(seq) >= 0).all()
+    assert (x[:, 4] == 1).sum() == 9 * quality.MAX_TRAIN_LINES // 4  # the symbols of the last quarter
+
+
 def test_viterbi():
     from itertools import product
 
