@@ -1,14 +1,16 @@
 """Packing into optimal length buckets.
 
-One histogram of lengths over the whole corpus goes to the driver: exact up to ``EXACT`` tokens, then in classes of 1/32
-of their size, so it has a few thousand entries at most, whatever the corpus. A class ends at the greatest length that
-occurs in it. Dynamic programming over these ends chooses the bucket boundaries with the least padding; up to ``EXACT``
-they are all lengths, above it a boundary inside a class is not considered. Inside a bucket, documents in hash order form batches whose padded size keeps
-to the token budget; places in a bucket come from distributed running counts.
+One exact histogram of lengths over the whole corpus goes to the driver. Distinct lengths of W words altogether number
+at most sqrt(2 W), some 4 million for 10 trillion words, so its size is bounded far under the corpus's. Dynamic
+programming over it chooses the bucket boundaries with the least padding, in time proportional to its size. Inside a
+bucket, documents in hash order form batches whose padded size keeps to the token budget; places in a bucket come from
+distributed running counts.
 
 Edge cases: a null or empty text has length 0 and is in no batch (bucket, batch and place null). A document longer than
-the budget is a batch of its own. Fewer distinct lengths than buckets give a bucket each. Repeated rows are packed once
-each. An empty table gives no rows.
+the budget is a batch of its own; a very long text is one length like any other. Fewer distinct lengths than buckets give
+a bucket each. Of equally good boundaries the one with fewer buckets, then with the earlier cuts, is taken. Repeated rows
+are packed once each; rows with equal ids and lengths change places at will. Columns named like results are replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,50 +22,57 @@ from pyspark.sql import functions as F
 from factloom.llm.mixing import n_words
 from factloom.llm.shared import Scratch, running_totals
 
-BUCKETS, BUDGET, EXACT = 16, 16_384, 2048
+BUCKETS, BUDGET = 16, 16_384
 
 
-def length_class(length):
-    """The upper end of a length's class: itself up to EXACT, then rounded up to a multiple of 1/32 of the power of two below it."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 5)
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
-def boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int = BUCKETS) -> tuple[list[int], int]:
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> tuple[list[int], int]:
     """At most ``buckets`` of the ascending ``lengths`` as upper ends, the last among them, with the least padding; and that padding.
 
-    cost[j] is the least padding of the first j lengths; a bucket over i..j pads count x lengths[j] - sum of lengths.
-    Ties go to the earlier cut.
+    With c documents and s tokens up to each length, a bucket over i..j pads (c[j] - c[i]) x lengths[j] - (s[j] - s[i]).
+    So the best cut i below j lies on the lower envelope of the lines (slope -c[i], height cost[i] + s[i]) at lengths[j];
+    slopes fall and places rise, so one walk along the envelope serves all j. Of equal cuts the earliest is taken, and
+    another bucket only where it pads less.
     """
     n = len(lengths)
     if not n:
         return [], 0
-    lengths = lengths.astype(np.int64)
-    c, s = (np.concatenate([[0], np.cumsum(x.astype(np.int64))]) for x in (counts, sums))
-    cost = np.concatenate([[0], c[1:] * lengths - s[1:]])
+    at = [int(x) for x in lengths]
+    c, s = [0], [0]
+    for length, k in zip(at, counts.tolist(), strict=True):
+        c.append(c[-1] + k)
+        s.append(s[-1] + k * length)
+    cost = [0, *(c[j] * at[j - 1] - s[j] for j in range(1, n + 1))]
     cuts = []
     for _ in range(1, min(buckets, n)):
-        new, cut = cost.copy(), np.zeros(n + 1, np.int64)
+        new, cut = cost[:], [-1] * (n + 1)
+        line, best = [], 0  # cuts on the envelope, and the best of them so far
         for j in range(1, n + 1):
-            x = cost[:j] + (c[j] - c[:j]) * lengths[j - 1] - (s[j] - s[:j])
-            k = int(x.argmin())
-            if x[k] <= cost[j]:
-                new[j], cut[j] = x[k], k
-            else:
-                cut[j] = -1
+            i, slope, height = j - 1, c[j - 1], cost[j - 1] + s[j - 1]
+            while len(line) >= 2:
+                (a, slope_a, height_a), (_, slope_b, height_b) = line[-2], line[-1]
+                # b is nowhere under both neighbours
+                if (height - height_a) * (slope_b - slope_a) <= (height_b - height_a) * (slope - slope_a):
+                    line.pop()
+                else:
+                    break
+            line.append((i, slope, height))
+            best = min(best, len(line) - 1)
+            x = at[j - 1]
+            while best + 1 < len(line) and line[best + 1][2] - line[best + 1][1] * x < line[best][2] - line[best][1] * x:
+                best += 1
+            value = line[best][2] - line[best][1] * x + c[j] * x - s[j]
+            if value < cost[j]:
+                new[j], cut[j] = value, line[best][0]
         cuts.append(cut)
         cost = new
     ends, j = [], n
     for cut in reversed(cuts):
-        if j <= 0:
-            break
-        if cut[j] == -1:
-            continue
-        ends.append(int(lengths[j - 1]))
-        j = int(cut[j])
+        if cut[j] >= 0:
+            ends.append(at[j - 1])
+            j = cut[j]
     if j > 0:
-        ends.append(int(lengths[j - 1]))
-    return sorted(set(ends)), int(cost[n])
+        ends.append(at[j - 1])
+    return sorted(ends), cost[n]
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, keep_text: bool = False) -> DataFrame:
@@ -76,13 +85,13 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, keep_tex
     sized = docs.withColumn("n_tokens", n_words(F.col("text")))
     if not keep_text:
         sized = sized.drop("text")  # before rows are sorted
-    hist = sized.where("n_tokens > 0").groupBy(length_class(F.col("n_tokens")).alias("len")).agg(F.max("n_tokens").alias("most"), F.count("*").alias("n"), F.sum("n_tokens").alias("s")).orderBy("len").toPandas()
-    ends, _ = boundaries(hist.most.to_numpy(), hist.n.to_numpy(), hist.s.to_numpy(), buckets)
+    hist = sized.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas().sort_values("n_tokens")  # sqrt(2 x words) rows at most
+    ends, _ = boundaries(hist.n_tokens.to_numpy(), hist.n.to_numpy(), buckets)
     up = F.lit(None).cast("long")
     for end in reversed(ends):
         up = F.when(F.col("n_tokens") <= end, F.lit(end).cast("long")).otherwise(up)
     sized = sized.withColumn("bucket_len", F.when(F.col("n_tokens") > 0, up)).withColumn("_one", F.lit(1).cast("long"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_last(), F.col("n_tokens")]
+    order = [F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.col("doc_id").asc_nulls_last(), F.col("n_tokens")]
     out = running_totals(sized, scratch, "sorted", ["bucket_len"], order, "_one", "_at").drop("_one")
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     real = F.col("bucket_len").isNotNull()

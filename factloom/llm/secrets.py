@@ -4,8 +4,10 @@ Patterns give base spans (assign, access, hex) and further candidates (long mixe
 is counted over distinct repositories and owners: values that many hold are copied examples; values that few hold look
 live. Live-looking further candidates join the spans; base spans always stay.
 
-Edge cases: a null or empty text has no spans. Null repositories and owners count as one holder together. Repeated rows
-give repeated results, and one holder. The hash is the first 128 bits of SHA-256.
+Edge cases: a null or empty text has no spans. Null is a repository and an owner of its own, apart from the empty name.
+Repeated rows give repeated results, and one holder. Values are told apart by 128 bits of SHA-256. Work on a text grows
+with its length, however many spans it holds; spans that start together are ordered by kind. Columns of docs other than
+the named ones are ignored, those of redact() stay, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: From so many distinct owners on, a value is a copied example.
 EXAMPLE_OWNERS = 4
+#: Tasks among which the rows of one value are dealt.
+SALTS = 16
 
 
 def entropy(s: str) -> float:
@@ -50,11 +54,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def further_spans(text: str, base: list, least_entropy: float = 3.5) -> list[tuple[int, int, int, str]]:
-    """Long tokens with digits and letters and much entropy that no base span touches."""
-    out = []
+    """Long tokens with digits and letters and much entropy that no base span touches. ``base`` is sorted; both lists are walked once."""
+    out, k, reach = [], 0, 0  # reach: the furthest end of the base spans that start before the token ends
     for m in MIXED.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
         s = m[0]
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and entropy(s) >= least_entropy and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+        if reach <= m.start() and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and entropy(s) >= least_entropy:
             out.append((m.start(), 3, m.end(), s))
     return out
 
@@ -63,7 +70,7 @@ def joined(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-_SCANNED = "_row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string>>, repo string, owner string, _key long"
+_SCANNED = "_row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string>>, repo string, owner string, _key string"
 
 
 def _scan(batches):
@@ -83,22 +90,28 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
+def row_key(doc_id, text):
+    """128 bits of hash, as text, that tell rows of different ids or texts apart."""
+    return F.concat(F.hex(F.xxhash64(doc_id, text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text, doc_id)))
+
+
 def secret_spans(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """For each row of docs (doc_id, text, repository, owner): the counts, digests and ``spans``.
 
-    ``_key`` is a hash of id and text. ``span_list`` has (start, kind, end, owners, repos, live) for each span; ``n_live`` and ``n_example`` count verdicts.
+    ``_key`` is 128 bits of hash of id and text. ``span_list`` has (start, kind, end, owners, repos, live) for each span; ``n_live`` and ``n_example`` count verdicts.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    named = docs.select(F.col("doc_id").cast("long"), "text", F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.xxhash64("doc_id", "text").alias("_key"))
+    named = docs.select(F.col("doc_id").cast("long"), "text", F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), row_key(F.col("doc_id"), F.col("text")).alias("_key"))
     rows = scratch.table(named.mapInArrow(_scan, _SCANNED), "scanned")
     each = rows.where(F.size("found") > 0).select("_row", "repo", "owner", F.explode("found").alias("f")).select("_row", "repo", "owner", "f.*")
     # Distinct holders first, so a value in a third of all rows is a row for each task and holder.
-    held = each.select("hash", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner")).distinct()
-    if repo_col == owner_col:
-        held = held.groupBy("hash").agg(F.count("*").alias("owners")).withColumn("repos", F.col("owners"))
-    else:
-        held = held.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    judged = each.join(held, "hash").withColumn("live", F.col("owners") < example_owners)
+    held = each.select("hash", "repo", "owner").distinct()
+    count = lambda c: F.count_distinct(F.struct(c))  # a null is one holder
+    held = held.groupBy("hash").agg(count("owner").alias("owners"), count("repo").alias("repos"))
+    # A value of one holder needs no lookup. The others stand once for each salt, so rows of a common value go to many tasks.
+    held = held.where("owners > 1 OR repos > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = each.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(held, ["hash", "_salt"], "left")
+    judged = judged.withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("owners", "repos")}).withColumn("live", F.col("owners") < example_owners)
     judged = judged.where((F.col("kind") < 3) | F.col("live"))
     spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("span_list"))
     out = rows.drop("found", "repo", "owner").join(spans, "_row", "left").drop("_row")
@@ -115,7 +128,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repo_col: str = "source", ow
     Rows meet their spans by a hash of id and text, so ids need not be unique. Only rows that may have live spans are
     shuffled.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    key = row_key(F.col("doc_id"), F.col("text"))
     spans = secret_spans(docs, repo_col, owner_col, example_owners)
     live = spans.where("n_live > 0").select(F.col("_key").alias("_span_key"), F.filter("span_list", lambda s: s["live"]).alias("_spans")).dropDuplicates(["_span_key"])
     live = Scratch(docs.sparkSession, "redact").table(live, "live")
@@ -136,7 +149,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", repo_col: str = "source", ow
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep], keep)
 
     keyed = docs.withColumn("_own_key", key)
-    keyed = keyed.withColumn("_maybe", sieve(live, "_span_key")(F.col("_own_key")))
+    short = live.select(F.xxhash64("_span_key").alias("k"))
+    keyed = keyed.withColumn("_maybe", sieve(short, "k")(F.xxhash64("_own_key")))
     clean = keyed.where(~F.col("_maybe")).select(*docs.columns)
     rest = keyed.where("_maybe").join(live, F.col("_own_key") == F.col("_span_key"), "left").select(*docs.columns, "_spans")
     return clean.unionByName(rest.mapInArrow(cut, docs.schema))

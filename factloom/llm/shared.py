@@ -17,9 +17,11 @@ from factloom.llm.words import pieces
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine may do without the setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,11 +35,15 @@ def importable(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Parquet tables of one query in the shared folder. They cut lineage and survive lost executors."""
+    """Parquet tables of one query in the shared folder. They cut lineage and survive lost executors; the folder goes with the driver."""
 
     def __init__(self, spark: SparkSession, name: str):
         importable(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)  # what isn't there can't be marked
+        fs.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -79,12 +85,19 @@ def running_totals(df: DataFrame, scratch: Scratch, name: str, group: list[str],
     return inside.join(before, match).withColumn(out, F.col("_inside") + F.col("_before")).drop("_p", "_q", "_inside", "_before", *[f"_g{i}" for i in range(len(group))])
 
 
-def sieve(keys: DataFrame, column: str, log_bits: int = 25):
+#: Bits of the largest filter as a power of two: 32 MB.
+MOST_BITS = 28
+
+
+def sieve(keys: DataFrame, column: str, log_bits: int | None = None):
     """A Bloom filter of a long column, as a function from a long Column to a Boolean one: false only for values that aren't there.
 
-    The filter has 2**log_bits bits whatever the data, so it can be broadcast (4 MB); with more keys it lets more pass.
+    ``keys`` is a written table. The filter has 8 to 16 bits a key, 2**20 at least and 2**MOST_BITS at most, so it can be
+    broadcast whatever the data; beyond some 100 million keys it lets more pass, which costs work and no results.
     """
     spark = keys.sparkSession
+    if log_bits is None:
+        log_bits = min(max((8 * keys.count()).bit_length(), 20), MOST_BITS)
     spots = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(1 << log_bits)) for k in (1, 2)]))
     words = keys.select(spots.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
     got = words.toArrow()  # 2**(log_bits - 6) rows at most

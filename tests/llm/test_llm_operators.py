@@ -92,8 +92,6 @@ def test_warc_round_trip(spark):
             want = ("revisit", 6) if i == 7 else ("response", None)
             assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(x), hashlib.sha256(x).hexdigest(), *want)
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    with pytest.raises(Exception, match="needs an id"):
-        warc.archive_round_trip(spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")).count()
 
 
 def test_warc_notices_damage(spark, tmp_path):
@@ -162,15 +160,30 @@ def test_boundaries():
     rng = np.random.default_rng(1)
     from itertools import combinations
 
-    for buckets in (1, 2, 3, 4, 9):
-        n = rng.choice(60, 7, replace=False) + 1
-        n.sort()
-        c = rng.integers(1, 9, 7)
-        ends, cost = packing.boundaries(n, c, n * c, buckets)
-        pad = lambda e: sum(k * (min(x for x in e if x >= m) - m) for m, k in zip(n, c, strict=True))
-        best = min(pad((*e, n[-1])) for r in range(min(buckets, 7)) for e in combinations(n[:-1], r))
-        assert cost == best == pad(ends) and len(ends) <= buckets
-    assert packing.boundaries(*[np.array([], int)] * 3) == ([], 0)
+    for top in (60, 30_000):  # short lengths and long ones
+        for buckets in (1, 2, 3, 4, 9):
+            n = rng.choice(top, 9, replace=False) + 1
+            n.sort()
+            c = rng.integers(1, 9, 9)
+            ends, cost = packing.boundaries(n, c, buckets)
+            pad = lambda e: sum(k * (min(x for x in e if x >= m) - m) for m, k in zip(n.tolist(), c.tolist(), strict=True))  # noqa: B023, E731
+            best = min(pad((*e, n[-1])) for r in range(min(buckets, 9)) for e in combinations(n[:-1], r))
+            assert cost == best == pad(ends) and len(ends) <= buckets
+    assert packing.boundaries(*[np.array([], int)] * 2) == ([], 0)
+
+
+def test_boundaries_are_optimal_for_long_histograms():
+    rng = np.random.default_rng(2)
+    for n in (400, 700):
+        length = np.sort(rng.choice(100_000, n, replace=False) + 1)
+        count = rng.integers(1, 50, n)
+        c, s = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * length)])
+        cost = np.concatenate([[0], c[1:] * length - s[1:]])
+        for _ in range(15):
+            cost = np.concatenate([[0], [min(cost[j], (cost[:j] + (c[j] - c[:j]) * length[j - 1] - (s[j] - s[:j])).min()) for j in range(1, n + 1)]])
+        ends, got = packing.boundaries(length, count, 16)
+        up = np.array(ends)[np.searchsorted(ends, length)]
+        assert got == cost[n] == ((up - length) * count).sum() and len(ends) == 16
 
 
 def test_packing(spark, real, docs):
@@ -187,12 +200,13 @@ def test_packing(spark, real, docs):
     assert packing.pack(spark.createDataFrame([], EMPTY)).count() == 0
 
 
-def test_packing_ends_are_lengths_that_occur(spark):
+def test_packing_ends_are_the_best(spark):
     n = [2049, 2051, 3000, 3001, 5003, 9001, 9002]
-    df = spark.createDataFrame([(k, "x " * m) for k, m in enumerate(n)], "doc_id long, text string")
+    df = spark.createDataFrame([(k, "x " * m, "y") for k, m in enumerate(n)], "doc_id long, text string, padding string")
     got = packing.pack(df, buckets=3).toPandas()
-    # Lengths of one class stay together; the best three ends of those that classes allow.
     assert set(got.bucket_len) == {3001, 5003, 9002} and got.padding.sum() == 952 + 950 + 1 + 1
+    got = packing.pack(df, buckets=4).toPandas()
+    assert set(got.bucket_len) == {2051, 3001, 5003, 9002} and got.padding.sum() == 2 + 1 + 1
 
 
 # 6
@@ -321,19 +335,38 @@ def test_secrets_ownership(spark):
     assert out[10] == "see [SECRET] and [SECRET]" and out[0] == rows[0][1] and len(out) == 7
 
 
+def test_secrets_null_owner_is_one_holder(spark):
+    value = "Zx9Qw8Er7Ty6Ui5Op4As3D"
+    rows = [(k, f"see {value}", "en", s) for k, s in enumerate([None, "", "a", None])]
+    assert {r.n_live for r in secrets.secret_spans(spark.createDataFrame(rows, EMPTY)).collect()} == {1}  # three holders
+    got = secrets.secret_spans(spark.createDataFrame([*rows, (9, f"see {value}", "en", "b")], EMPTY).withColumn("spans", F.lit(1)).withColumn("hash", F.lit(2))).collect()
+    assert {(r.n_live, r.spans) for r in got} == {(0, "")} and len(got) == 5
+
+
+def test_further_spans_walk_once():
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("abcdefXYZ0123456789"), n))
+    text = " ".join(f"token={word(30)}" if k % 3 else word(24) + "/" + word(9) for k in range(400))
+    base = secrets.base_spans(text)
+    want = [m.span() for m in secrets.MIXED.finditer(text) if secrets.entropy(m[0]) >= 3.5 and not any(a < m.end() and m.start() < b for a, _, b, _ in base)]
+    assert [(a, b) for a, _, b, _ in secrets.further_spans(text, base)] == want and want
+
+
 # 9
 
 
 def _top(rows, every=20, k=20):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    return [(q, n + 1, i, -s) for q, v in ok if q % every == 0 for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:k])]
+    return [(q, n + 1, i, -s) for a, (q, v) in enumerate(ok) if q % every == 0 for n, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(ok) if a != b and len(v) == len(w))[:k])]
 
 
-@pytest.mark.parametrize(("block", "query_block", "scale"), [(4096, 1024, 1), (50, 3, 1), (4096, 1024, 1e12)])
+@pytest.mark.parametrize(("block", "query_block", "scale"), [(4096, 1024, 1), (50, 3, 1), (20, 1000, 1), (4096, 1024, 1e12)])
 def test_top_k(spark, block, query_block, scale):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) * scale for x in np.round(rng.normal(size=40) * rng.random(40), 2)]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(30)] + [(400, None), (420, [None] * 40), (440, [float("nan")] * 40), (460, [float("inf")] * 40), (None, rows[1][1])]
+    rows += [rows[20], rows[20], rows[7], (20, rows[21][1])]  # repeated rows, and an id again
+    rows += [(500 + i, rows[i][1][:7]) for i in range(0, 60, 3)] + [(600, []), (601, []), (620, [1.0])]  # other lengths
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
     if scale == 1:
         got = vectors.top_k(df, block=block, query_block=query_block).collect()
@@ -346,6 +379,18 @@ def test_top_k(spark, block, query_block, scale):
         assert vectors.top_k(df.where("vec_id < 3")).count() == 2
 
 
+def test_top_k_sends_only_cells_that_matter(spark, monkeypatch):
+    rng = np.random.default_rng(8)  # clusters far apart: a query's best lie in its own
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 0.01 + 4 * np.eye(8)[i % 8]]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = []
+    table = shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, name, *a: (out := table(self, df, name, *a), name == "pairs" and asked.append(out.count()))[0])
+    got = vectors.top_k(df, k=5, block=40, query_block=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(_top(rows, k=5))
+    assert asked[0] < 60  # of some 5 query blocks x 25 candidate blocks; neighbours share a query block
+
+
 # 10
 
 
