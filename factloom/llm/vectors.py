@@ -84,6 +84,15 @@ def _matrix(t: pa.Table, name: str = "v") -> np.ndarray:
     return flat.reshape(t.num_rows, len(flat) // max(t.num_rows, 1))
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the vectors, each the furthest from those before it: no cluster of the sample is left without one."""
+    picked, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(picked) < min(n, len(x)):
+        picked.append(int(np.argmax(far)))
+        far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(1))
+    return x[picked]
+
+
 def chained(x: np.ndarray) -> np.ndarray:
     """Vectors in an order in which each is followed by the nearest of those left, so neighbours have close numbers."""
     left, order = list(range(1, len(x))), [0]
@@ -120,14 +129,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     floor = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # beyond, a double is whole
     whole = F.transform(x, lambda v: floor(v * scale))
     rows = vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).withColumn("d", F.size("v"))
-    # Pivots: the vectors of the smallest hashes; PIVOTS of each length at most, one for a block of vectors.
+    # Pivots come from the vectors of the smallest hashes, PIVOTS of each length at most; one for a block of vectors.
     nth = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vec_id", "v"), "vec_id"))
     sample = rows.withColumn("n", nth).where(F.col("n") <= PIVOTS).select("d", "v").collect()  # PIVOTS rows of each length at most
     sizes = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}  # a row for each length
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    few = lambda d: [r["v"] for r in sample if r["d"] == d][: -(-sizes[d] // block)]
-    pivots = {d: chained(np.array(few(d), float).reshape(len(few(d)), d)) for d in sizes}
+    of = lambda d: [r["v"] for r in sample if r["d"] == d]
+    pivots = {d: chained(spread(np.array(of(d), float).reshape(len(of(d)), d), -(-n // block))) for d, n in sizes.items()}
     held = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_cells(pivots), "vec_id long, v array<double>, d int, _row long, cell int, far double")
     held = scratch.table(held, "cells")  # written once, so a row keeps its number
 
