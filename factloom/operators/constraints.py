@@ -92,6 +92,27 @@ def violations(facts: DataFrame, rules: list) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def relevant(facts: DataFrame, touched: DataFrame, rules: list) -> DataFrame:
+    """(entity): those whose facts a commit that touches some entities can set against each other.
+
+    An entity meets those that hold its values of unique attributes, those that refer to it, and those it refers to.
+    Facts of the rest are the same before and after. A value or target that is shared by many is found by a join, so its
+    holders come once.
+    """
+    out = [touched.select("entity")]
+    unique = [r.attribute for r in rules if isinstance(r, Unique)]
+    refs = [r.attribute for r in rules if isinstance(r, ReferenceTarget)]
+    if unique:
+        held = facts.where(F.col("attribute").isin(unique)).select("entity", "attribute", "v")
+        out.append(held.join(held.join(touched, "entity", "left_semi").select("attribute", "v").distinct(), ["attribute", "v"], "left_semi").select("entity"))
+    if refs:
+        held = facts.where(F.col("attribute").isin(refs) & (F.col("vtype") == "ref")).select("entity", F.col("v.txt").alias("target"))
+        out.append(held.join(touched.withColumnRenamed("entity", "target"), "target", "left_semi").select("entity"))
+        # Of all entities so far: a holder that refers elsewhere is judged with its targets, before as after.
+        out.append(held.join(reduce(DataFrame.unionByName, out).distinct(), "entity", "left_semi").select(F.col("target").alias("entity")))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
 def worsened(before: DataFrame, after: DataFrame) -> DataFrame:
     """Violations that are new or larger; those that were there already are tolerated.
 
@@ -104,4 +125,4 @@ def worsened(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.where(F.col("size") > F.coalesce("_same", "_most", F.lit(0))).select(*after.columns)
 
 
-__all__ = ["Cardinality", "ReferenceTarget", "Required", "Unique", "V", "violations", "worsened"]
+__all__ = ["Cardinality", "ReferenceTarget", "Required", "Unique", "V", "relevant", "violations", "worsened"]

@@ -156,20 +156,52 @@ def what_if(base: FactBase, asserts: list[dict] = (), retracts: list[str] = (),
     return FactBase(base.spark, sources, base.sealing)
 
 
+CHAIN = "step int, tx_id string, position long, actor string, command_id string, causation_id string, more boolean"
+
+
 def why(store: Store, id: str, depth: int = 32) -> DataFrame:
-    """The transaction of a fact, and the chain of commands that caused it: (step, tx_id, position, actor, command_id, causation_id)."""
+    """The transaction of a fact, and the chain of commands that caused it: rows of CHAIN.
+
+    ``more`` is true in the last row if the chain goes on behind ``depth`` steps.
+    """
     tx = store.transactions()
     now = tx.join(store.assertion(id).select("tx_id"), "tx_id")
-    steps = []
-    for k in range(depth):
-        rows = now.select(F.lit(k).alias("step"), "tx_id", "position", "actor", "command_id", "causation_id").collect()
-        if not rows:
+    steps: list[tuple] = []
+    while rows := now.select("tx_id", "position", "actor", "command_id", "causation_id").limit(1).collect():
+        if len(steps) == depth:
+            steps[-1] = (*steps[-1][:-1], True)
             break
-        steps += rows
-        if rows[0]["causation_id"] is None or rows[0]["causation_id"] in [r["command_id"] for r in steps]:
+        r = rows[0]
+        steps.append((len(steps), *r, False))
+        if r["causation_id"] is None or r["causation_id"] in {s[4] for s in steps}:
             break
-        now = tx.where(F.col("command_id") == rows[0]["causation_id"])
-    return store.spark.createDataFrame(steps, "step int, tx_id string, position long, actor string, command_id string, causation_id string")
+        now = tx.where(F.col("command_id") == r["causation_id"])
+    return store.spark.createDataFrame(steps, CHAIN)
+
+
+def why_attribute(store: Store, entity: str, attribute: str, basis: Basis | None = None) -> DataFrame:
+    """The visible facts of an entity's attribute with the transactions that asserted them."""
+    return why_entity(store, entity, basis).where(F.col("attribute") == attribute)
+
+
+def why_entity(store: Store, entity: str, basis: Basis | None = None) -> DataFrame:
+    """The visible facts of an entity with the transactions that asserted them: (id, attribute, vtype, v, tx_id, position, actor, command_id, causation_id)."""
+    facts = store.entity(entity, basis).select("id", "attribute", "vtype", "v", "tx_id")
+    return facts.join(store.transactions().select("tx_id", "position", "actor", "command_id", "causation_id"), "tx_id").select("id", "attribute", "vtype", "v", "tx_id", "position", "actor", "command_id", "causation_id")
+
+
+def preview(store: Store, ops: list[dict], derivations: list[Derivation] = (), valid_at: int | None = None) -> dict:
+    """What a commit would do, without it: ``changes``, ``violations`` (None without constraints) and, by the name of each
+    derivation, ``derivations`` (candidate, change) where a candidate would come, go or change."""
+    changes, broken = store.transact(ops, dry_run=True)
+    gone = [r["triple_id"] for r in changes.where("op = 'retract'").select("triple_id").collect()]  # of one command
+    position = store.head() + 1
+    kept = [op for k, op in enumerate(ops) if op["op"] == "assert" and f"f:{position:012d}:{k:06d}" not in gone]
+    basis = store.pin(Basis(valid_at=valid_at))
+    base = store.base()
+    then = what_if(base, kept, gone, at=store.clock())
+    out = {d.name: reconcile(candidates(base, d, basis), candidates(then, d, basis)).where("change <> 'unchanged'") for d in derivations}
+    return {"changes": changes, "violations": broken, "derivations": out}
 
 
 def why_candidate(candidates_: DataFrame, facts: DataFrame, candidate: str) -> DataFrame:

@@ -77,3 +77,55 @@ def impact(facts: DataFrame, subjects: DataFrame, old: dict[str, tuple], new: di
     joined = a.select("entity", *[F.col(n).alias(f"_a_{n}") for n in both]).join(b.select("entity", *[F.col(n).alias(f"_b_{n}") for n in both]), "entity")
     rows = joined.select("entity", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_a_{n}").alias("before"), F.col(f"_b_{n}").alias("after")) for n in both])).alias("r"))
     return rows.select("entity", "r.*").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+# Answers with what they rest on.
+
+
+def observed(e: tuple, rules: dict[str, tuple], seen: frozenset = frozenset()) -> set[tuple]:
+    """What an expression looks at: ("fact", attribute), ("clock", granularity) and ("rule", name)."""
+    kind = e[0]
+    if kind in ("exists", "eq"):
+        return {("fact", e[1])}
+    if kind == "before":
+        return {("fact", e[1]), ("clock", e[2])}
+    if kind == "not":
+        return observed(e[1], rules, seen)
+    if kind in ("all", "any"):
+        return set().union(*(observed(x, rules, seen) for x in e[1])) if e[1] else set()
+    if kind == "rule":
+        inner = observed(rules[e[1]], rules, seen | {e[1]}) if e[1] in rules and e[1] not in seen else set()
+        return {("rule", e[1])} | inner
+    return set()
+
+
+def answers(facts: DataFrame, subjects: DataFrame, rules: dict[str, tuple], now: int, cache: DataFrame | None = None) -> DataFrame:
+    """(entity, rule, truth, closure, hit) for each subject and rule.
+
+    ``closure`` hashes the rule's definition with those it calls, the values it looked at and the clock's buckets: answers
+    of one closure are equal. With a ``cache`` of earlier answers (rule, closure, truth), those found there are hits.
+    """
+    need = sorted(set().union(*(attributes(e, rules) for e in rules.values())) if rules else set())
+    values = facts.where(F.col("attribute").isin(need)).groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("attribute", F.to_json("v")))).alias("_read"))
+    rows = evaluate(facts, subjects, rules, now).join(values, "entity", "left")
+    out = []
+    for n in rules:
+        look = observed(("rule", n), rules)
+        fixed = sorted(f"{k}={rules.get(k)!r}" for kind, k in look if kind == "rule") + sorted(f"{g}={now // {'day': DAY, 'instant': 1}[g]}" for kind, g in look if kind == "clock")
+        read = [F.coalesce(F.col("_read")[a], F.lit("-")) for a in sorted(a for kind, a in look if kind == "fact")]
+        closure = F.sha2(F.concat_ws("\u0001", *[F.lit(x) for x in fixed], *read), 256)
+        out.append(F.struct(F.lit(n).alias("rule"), F.col(n).alias("truth"), closure.alias("closure")))
+    rows = rows.select("entity", F.explode(F.array(*out)).alias("r")).select("entity", "r.*")
+    if cache is None:
+        return rows.withColumn("hit", F.lit(False))
+    known = cache.select("rule", "closure", F.col("truth").alias("_known"), F.lit(True).alias("_hit")).dropDuplicates(["rule", "closure"])
+    rows = rows.join(known, ["rule", "closure"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False)))
+    return rows.select("entity", "rule", F.when(F.col("hit"), F.col("_known")).otherwise(F.col("truth")).alias("truth"), "closure", "hit")
+
+
+def replay(recorded: DataFrame, facts: DataFrame, rules: dict[str, tuple], now: int) -> DataFrame:
+    """(entity, rule, verdict) of recorded answers looked at again: same; moved, if an input has changed; wrong, if none has but the truth differs."""
+    again = answers(facts, recorded.select("entity").distinct(), rules, now).select("entity", "rule", F.col("truth").alias("_t"), F.col("closure").alias("_c"))
+    both = recorded.join(again, ["entity", "rule"], "left")
+    verdict = F.when(~F.col("closure").eqNullSafe(F.col("_c")), "moved").when(~F.col("truth").eqNullSafe(F.col("_t")), "wrong").otherwise("same")
+    return both.select("entity", "rule", verdict.alias("verdict"))

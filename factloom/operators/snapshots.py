@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.basis import Basis, visible
+
 
 def snapshot(facts: DataFrame) -> DataFrame:
     """(entity, attributes, hash) of visible facts; equal contents have equal hashes, whatever their facts' ids."""
@@ -29,3 +31,36 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def find_by_hash(snapshots: DataFrame, digest: str) -> DataFrame:
     return snapshots.where(F.col("hash") == digest)
+
+
+# Of a store, at its cuts.
+
+
+def at(store, ids: list[str] | None = None, position: int | None = None, recorded_at: int | None = None) -> DataFrame:
+    """Snapshots of some entities, or of all, at a position or a recorded moment; the head if neither is given. All valid times count."""
+    facts = store.facts()
+    facts = facts if ids is None else facts.where(F.col("entity").isin(ids))
+    basis = Basis.of(recorded_at=recorded_at, position=position if position is not None or recorded_at is not None else store.head())
+    return snapshot(facts.where(visible(basis)))
+
+
+def hashes(store, entity: str) -> DataFrame:
+    """(position, tx_id, instant, hash): an entity's content after each transaction that touched it; hash null once it is gone."""
+    touched = store.changes().where(F.col("entity") == entity).select("position").distinct()
+    history = store.history(entity)
+    # Its facts beside each of its own positions only.
+    held = touched.join(history, (F.col("recorded_position") <= F.col("position")) & (F.col("retracted_position").isNull() | (F.col("retracted_position") > F.col("position"))))
+    one = held.groupBy("position", "attribute").agg(F.sort_array(F.collect_list(F.struct("vtype", "v"))).alias("values"))
+    rows = one.groupBy("position").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("attribute", "values")))), 256).alias("hash"))
+    return touched.join(rows, "position", "left").join(store.transactions().select("position", "tx_id", "instant"), "position").select("position", "tx_id", "instant", "hash")
+
+
+def find_changed(store, since: int) -> DataFrame:
+    """(entity, hash) of entities that transactions behind a position have touched, as they are now."""
+    touched = store.changes().where(F.col("position") > since).select("entity").distinct()
+    return snapshot(store.facts().where(visible(Basis.of(position=store.head()))).join(touched, "entity", "left_semi")).select("entity", "hash")
+
+
+def checkpoint(store, recorded_at: int) -> DataFrame:
+    """(entity, hash) of all entities at a recorded moment."""
+    return at(store, recorded_at=recorded_at).select("entity", "hash")

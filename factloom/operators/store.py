@@ -1,13 +1,19 @@
 """Append-only facts in Parquet segments, with one writer and an ordered journal.
 
-A commit stages its rows under a name of its own, then publishes them by creating the manifest of its position, which
-fails if another commit has taken it. Readers see only segments that a manifest names, so a broken commit leaves no
-trace. Nothing is deleted: retractions close recorded time.
+A commit stages its rows under a name of its own, writes the manifest of its position to a temporary file, and publishes
+it by a rename that fails if the position is taken. Readers see only whole manifests and the segments these name, so a
+broken commit leaves no trace. Nothing is deleted: retractions close recorded time, and rewriting segments publishes a
+further generation of the head's manifest beside the old one.
+
+Retractions are stored with the attribute and entity of their fact and joined on these as well, so a filter on either
+reaches both sides' scans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -19,13 +25,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values as V
 from factloom.functions.basis import TX, Basis, recorded, valid, visible
-from factloom.operators.constraints import violations, worsened
+from factloom.operators.constraints import relevant, violations, worsened
 from factloom.plans.errors import CommitError
 from factloom.plans.page import Page, page
 from factloom.sources.facts import CHANGES, FACTS, TRANSACTIONS, FactBase, JournalFacts, Source, StoredFacts
 
 RESERVED = (TX, ":_schema/", ":_sys/")
-_RETRACTED = "id string, retracted_at long, retracted_position long, retract_tx_id string"
+_RETRACTED = "id string, entity string, attribute string, retracted_at long, retracted_position long, retract_tx_id string"
+_MANIFEST = re.compile(r"(\d{12})(?:\.(\d+))?\.json")
 _ENTRIES = "scope string, key string, box string, payload string, position long, acknowledged boolean"
 
 
@@ -79,24 +86,54 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        fs, root = self._fs(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _create(self, folder: str, name: str, content: dict) -> bool:
+        """Publish a file whole, or not at all: False if the name is taken."""
+        fs, tmp = self._fs(f"{self.path}/{folder}/.{uuid.uuid4().hex}.tmp")
+        to = self._fs(f"{self.path}/{folder}/{name}")[1]
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        options = jvm.org.apache.hadoop.fs.Options
+        none = self.spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 0)
+        try:  # a rename without the option to overwrite
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, to, none)
+        except Exception:
+            fs.delete(tmp, False)
+            if fs.exists(to):
+                return False
+            raise
+        return True
+
+    def _heads(self) -> dict[int, int]:
+        """The latest generation of each position's manifest."""
+        out: dict[int, int] = {}
+        for n in self._names("manifest"):
+            if m := _MANIFEST.fullmatch(n):
+                out[int(m[1])] = max(out.get(int(m[1]), 0), int(m[2] or 0))
+        return out
+
     def manifest(self, position: int | None = None) -> dict:
-        fs, root = self._fs(f"{self.path}/manifest")
-        if position is None:
-            names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-            position = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+        heads = self._heads()
+        position = max(heads, default=0) if position is None else position
         if position == 0:
             return {"position": 0, "instant": None, "segments": []}
-        text = self.spark.read.text(f"{self.path}/manifest/{position:012d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        generation = heads.get(position, 0)
+        name = f"{position:012d}.{generation}.json" if generation else f"{position:012d}.json"
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{name}", wholetext=True).first()[0]) | {"generation": generation}
 
     def _publish(self, m: dict) -> None:
-        fs, p = self._fs(f"{self.path}/manifest/{m['position']:012d}.json")
-        try:
-            out = fs.create(p, False)
-        except Exception as e:
-            raise CommitError("stale_head", "", f"position {m['position']} is taken") from e
-        out.write(bytearray(json.dumps(m).encode()))
-        out.close()
+        if not self._create("manifest", f"{m['position']:012d}.json", m):
+            raise CommitError("stale_head", "", f"position {m['position']} is taken")
+
+    def _regenerate(self, m: dict, segments: list) -> None:
+        """Replace the head's segments. Fails if another has done so since ``m`` was read, or the head has moved on."""
+        if self.head() != m["position"] or not self._create("manifest", f"{m['position']:012d}.{m.get('generation', 0) + 1}.json", {"position": m["position"], "instant": m["instant"], "segments": segments}):
+            raise CommitError("stale_head", "", f"position {m['position']} has been rewritten")
 
     def _read(self, kind: str, schema, m: dict | None = None) -> DataFrame:
         paths = [f"{self.path}/{s}/{kind}" for s, kinds in (m or self.manifest())["segments"] if kind in kinds]
@@ -107,9 +144,11 @@ class Store:
     def facts(self, m: dict | None = None) -> DataFrame:
         m = m or self.manifest()
         gone = ("retracted_at", "retracted_position", "retract_tx_id")
-        asserted = self._read("facts", FACTS, m).drop(*gone)
-        first = self._read("retracted", _RETRACTED, m).groupBy("id").agg(*[F.min_by(c, "retracted_position").alias(c) for c in gone])
-        return asserted.join(first, "id", "left").select(*FACTS.names)
+        asserted = self._read("facts", FACTS, m)
+        if not any("retracted" in kinds for _, kinds in m["segments"]):
+            return asserted
+        first = self._read("retracted", _RETRACTED, m).groupBy("id", "entity", "attribute").agg(*[F.min_by(c, "retracted_position").alias(c) for c in gone])
+        return asserted.drop(*gone).join(first, ["attribute", "entity", "id"], "left").select(*FACTS.names)
 
     def transactions(self, m: dict | None = None) -> DataFrame:
         return self._read("transactions", TRANSACTIONS, m)
@@ -155,9 +194,9 @@ class Store:
         return self.facts().where((F.col("entity") == entity) & visible(self.pin(basis)))
 
     def entities(self, ids: list[str], basis: Basis | None = None) -> DataFrame:
-        """(place, entity, facts) in the order asked for, gaps included."""
+        """(place, entity, facts) in the order asked for, gaps included. Only the asked entities' facts are read and grouped."""
         asked = self.spark.createDataFrame(list(enumerate(ids)), "place int, entity string")
-        rows = self.facts().where(visible(self.pin(basis))).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("attribute", "id", "vtype", "v", "valid_from", "valid_to"))).alias("facts"))
+        rows = self.facts().where(F.col("entity").isin(ids) & visible(self.pin(basis))).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("attribute", "id", "vtype", "v", "valid_from", "valid_to"))).alias("facts"))
         return asked.join(rows, "entity", "left").select("place", "entity", F.coalesce("facts", F.array()).alias("facts")).orderBy("place")
 
     def match(self, entity: str | None = None, attribute: str | None = None, value: Any = None, entity_type: str | None = None, basis: Basis | None = None) -> DataFrame:
@@ -189,8 +228,10 @@ class Store:
         grouped = changes.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("ord", "triple_id", "op", "entity", "attribute"))).alias("changes"))
         return tx.join(grouped, "position", "left").orderBy("position")
 
-    def transactions_for_entity(self, entity: str, limit: int = 100, before: int | None = None) -> DataFrame:
+    def transactions_for_entity(self, entity: str, limit: int = 100, before: int | None = None, at: int | None = None) -> DataFrame:
+        """Transactions that touch an entity, newest first, behind ``before``; ``at`` pins the pages to a position."""
         tx = self.transactions().join(self.changes().where(F.col("entity") == entity).select("position").distinct(), "position", "left_semi")
+        tx = tx if at is None else tx.where(F.col("position") <= at)
         tx = tx if before is None else tx.where(F.col("position") < before)
         return tx.orderBy(F.desc("position")).limit(limit)
 
@@ -204,6 +245,29 @@ class Store:
 
     # Writes.
 
+    def _judge(self, m: dict, before: DataFrame, new: DataFrame, gone: DataFrame, tx: DataFrame, log: DataFrame, enforce: bool) -> DataFrame | None:
+        """The violations that a state would add; raises on them if asked to, and on what a validator says.
+
+        Only facts that can matter are judged: those of touched entities, of others with their values, and of those that
+        refer to them or are referred to.
+        """
+        live = before.where("retracted_position IS NULL")
+        after = live.unionByName(new).join(gone.select("id"), "id", "left_anti")
+        broken = None
+        if self.constraints:
+            touched = new.select("entity").unionByName(gone.select("entity")).distinct()
+            near = relevant(live.unionByName(new), touched, self.constraints)
+            broken = worsened(violations(live.join(near, "entity", "left_semi"), self.constraints), violations(after.join(near, "entity", "left_semi"), self.constraints))
+            if enforce and (found := broken.limit(20).collect()):
+                raise CommitError("constraint", "", f"{len(found)} violations", violations=[r.asDict() for r in found])
+        if self.validators and enforce:
+            journal = JournalFacts(self.transactions(m).unionByName(tx), self.changes(m).unionByName(log))
+            old, now = FactBase(self.spark, [StoredFacts(before), journal]), FactBase(self.spark, [StoredFacts(after), journal])
+            for check in self.validators:
+                if why := check(old, now):
+                    raise CommitError("validator", "", why)
+        return broken
+
     def transact(self, ops: list[dict], actor: str | None = None, command_id: str | None = None, correlation_id: str | None = None, causation_id: str | None = None, config_snapshot: str | None = None, preconditions: list[dict] = (), enforce: bool = True, dry_run: bool = False, internal: bool = False):
         """Apply ops in order, all or nothing. Returns a Receipt; with dry_run, (changes, violations) and nothing is kept."""
         m = self.manifest()
@@ -266,22 +330,12 @@ class Store:
             else:
                 raise CommitError("unknown_op", f"ops[{k}]", kind)
         new = self.spark.createDataFrame(list(asserted.values()), FACTS)
-        gone = self.spark.createDataFrame([(i, instant, position, tx_id) for i in retracted], _RETRACTED)
+        gone = self.spark.createDataFrame([(c[2], c[4], c[5], instant, position, tx_id) for c in changes if c[3] == "retract"], _RETRACTED)
         tx = self.spark.createDataFrame([(tx_id, position, instant, actor, command_id, correlation_id, causation_id, config_snapshot)], TRANSACTIONS)
         log = self.spark.createDataFrame(changes, CHANGES)
-        live = before.where("retracted_position IS NULL")
-        after = live.unionByName(new).join(gone.select("id"), "id", "left_anti")
-        broken = worsened(violations(live, self.constraints), violations(after, self.constraints)) if self.constraints else None
+        broken = self._judge(m, before, new, gone, tx, log, enforce and not dry_run)
         if dry_run:
             return log, broken
-        if enforce and broken is not None and (found := broken.limit(20).collect()):
-            raise CommitError("constraint", "", f"{len(found)} violations", violations=[r.asDict() for r in found])
-        if self.validators:
-            journal = JournalFacts(self.transactions(m).unionByName(tx), self.changes(m).unionByName(log))
-            old, now = FactBase(self.spark, [StoredFacts(before), journal]), FactBase(self.spark, [StoredFacts(after), journal])
-            for check in self.validators:
-                if why := check(old, now):
-                    raise CommitError("validator", "", why)
         parts = {"facts": new if asserted else None, "retracted": gone if retracted else None, "transactions": tx, "changes": log if changes else None, "entries": self.spark.createDataFrame(entries, _ENTRIES) if entries else None}
         self._commit(m, position, instant, {k: v.coalesce(1) for k, v in parts.items() if v is not None})
         return Receipt(tx_id, position, instant, list(asserted), list(retracted))
@@ -292,10 +346,11 @@ class Store:
             df.write.parquet(f"{self.path}/{name}/{kind}")
         self._publish({"position": position, "instant": instant, "segments": [*m["segments"], [name, sorted(parts)]]})
 
-    def load(self, rows: DataFrame, actor: str | None = None) -> Receipt:
+    def load(self, rows: DataFrame, actor: str | None = None, enforce: bool = True) -> Receipt:
         """Assert many facts in one transaction: rows with entity, attribute, vtype, v, and any of entity_type, valid_from, valid_to.
 
-        Stays distributed; constraints are not judged. Facts are clustered by attribute and entity.
+        Stays distributed. Constraints, validators and reserved names hold as in transact(); they judge the staged rows
+        before these are published. Facts are clustered by attribute and entity.
         """
         m = self.manifest()
         position, instant = m["position"] + 1, max(self.clock(), m["instant"] or 0)
@@ -306,25 +361,83 @@ class Store:
         name = f"segments/{position:012d}-{uuid.uuid4().hex[:8]}"
         df.repartitionByRange("attribute", "entity").sortWithinPartitions("attribute", "entity").write.parquet(f"{self.path}/{name}/facts")
         kept = self.spark.read.schema(FACTS).parquet(f"{self.path}/{name}/facts")
-        kept.select(F.lit(position).cast("long").alias("position"), F.lit(0).alias("ord"), F.col("id").alias("triple_id"), F.lit("assert").alias("op"), "entity", "attribute").write.parquet(f"{self.path}/{name}/changes")
-        self.spark.createDataFrame([(tx_id, position, instant, actor, None, None, None, None)], TRANSACTIONS).coalesce(1).write.parquet(f"{self.path}/{name}/transactions")
+        own = F.lit(False)
+        for prefix in RESERVED:
+            own = own | F.col("attribute").startswith(prefix)
+        if bad := kept.where(own | F.col("entity").startswith("tx:") | F.col("entity").startswith("_sys:")).select("entity", "attribute").first():
+            raise CommitError("reserved", "rows", f"{bad['entity']} {bad['attribute']}")
+        log = kept.select(F.lit(position).cast("long").alias("position"), F.lit(0).alias("ord"), F.col("id").alias("triple_id"), F.lit("assert").alias("op"), "entity", "attribute")
+        tx = self.spark.createDataFrame([(tx_id, position, instant, actor, None, None, None, None)], TRANSACTIONS)
+        self._judge(m, self.facts(m), kept, self.spark.createDataFrame([], _RETRACTED), tx, log, enforce)
+        log.write.parquet(f"{self.path}/{name}/changes")
+        tx.coalesce(1).write.parquet(f"{self.path}/{name}/transactions")
         self._publish({"position": position, "instant": instant, "segments": [*m["segments"], [name, ["changes", "facts", "transactions"]]]})
         return Receipt(tx_id, position, instant)
 
-    def compact(self) -> None:
-        """Bring all segments into one, clustered by attribute; positions, ids and history stay."""
-        m = self.manifest()
+    def _tables(self, m: dict) -> dict[str, DataFrame]:
+        return {"facts": self._read("facts", FACTS, m), "retracted": self._read("retracted", _RETRACTED, m), "transactions": self.transactions(m), "changes": self.changes(m), "entries": self._read("entries", _ENTRIES, m)}
+
+    def _rewrite(self, m: dict, tables: dict[str, DataFrame]) -> None:
         name = f"segments/{m['position']:012d}-{uuid.uuid4().hex[:8]}"
-        tables = {"facts": self._read("facts", FACTS, m).repartitionByRange("attribute", "entity").sortWithinPartitions("attribute", "entity"), "retracted": self._read("retracted", _RETRACTED, m), "transactions": self.transactions(m), "changes": self.changes(m), "entries": self._read("entries", _ENTRIES, m)}
         for kind, df in tables.items():
+            if "attribute" in df.columns and kind != "changes":
+                df = df.repartitionByRange("attribute", "entity").sortWithinPartitions("attribute", "entity")
             df.write.parquet(f"{self.path}/{name}/{kind}")
-        fs, p = self._fs(f"{self.path}/manifest/{m['position']:012d}.json")
-        tmp = self._fs(f"{self.path}/manifest/{uuid.uuid4().hex}.tmp")[1]
-        out = fs.create(tmp, False)
-        out.write(bytearray(json.dumps(m | {"segments": [[name, sorted(tables)]]}).encode()))
-        out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        self._regenerate(m, [[name, sorted(tables)]])
+
+    def compact(self) -> None:
+        """Bring all segments into one, clustered by attribute; positions, ids and history stay. The old ones stay for readers that hold them."""
+        m = self.manifest()
+        self._rewrite(m, self._tables(m))
+
+    # Sealed values.
+
+    def sealed_facts(self, key_id: str | None = None) -> DataFrame:
+        """(id, entity, attribute, value_type, key_id, ciphertext, blind) of all sealed facts, history included."""
+        kind = "valueType string, keyId string, ciphertext string"
+        rows = self._read("facts", FACTS).where("vtype = 'sealed' AND sealed IS NOT NULL").withColumn("s", F.from_json("sealed", kind))
+        rows = rows.select("id", "entity", "attribute", F.col("s.valueType").alias("value_type"), F.col("s.keyId").alias("key_id"), F.col("s.ciphertext").alias("ciphertext"), "blind")
+        return rows if key_id is None else rows.where(F.col("key_id") == key_id)
+
+    def rewrite_values(self, changed: DataFrame) -> int:
+        """Put new ciphertexts and tokens in the place of those of some sealed facts: (id, sealed, blind). Meaning, time and position stay; nothing is journaled."""
+        m = self.manifest()
+        tables = self._tables(m)
+        new = changed.select("id", F.col("sealed").alias("_sealed"), F.col("blind").alias("_blind"), F.lit(True).alias("_hit"))
+        facts = tables["facts"].join(new, "id", "left")
+        hit = F.coalesce("_hit", F.lit(False))
+        facts = facts.withColumn("sealed", F.when(hit, F.col("_sealed")).otherwise(F.col("sealed"))).withColumn("blind", F.when(hit, F.col("_blind")).otherwise(F.col("blind")))
+        n = changed.count()
+        self._rewrite(m, tables | {"facts": facts.select(*FACTS.names)})
+        return n
+
+    def scrub_blind_tokens(self, entity: str | None = None) -> int:
+        """Erase tokens of sealed facts, of one entity or of all; ciphertexts stay."""
+        rows = self._read("facts", FACTS).where("vtype = 'sealed' AND blind IS NOT NULL")
+        rows = rows if entity is None else rows.where(F.col("entity") == entity)
+        return self.rewrite_values(rows.select("id", "sealed", F.lit(None).cast("string").alias("blind")))
+
+    # Consumers of the feed.
+
+    def consumer(self, name: str) -> int:
+        """The position up to which a named consumer has processed the feed; 0 for a new one."""
+        folder = f"consumers/{_safe(name)}"
+        moves = [n for n in self._names(folder) if n.endswith(".json")]
+        return json.loads(self.spark.read.text(f"{self.path}/{folder}/{max(moves)}", wholetext=True).first()[0])["to"] if moves else 0
+
+    def advance(self, name: str, expected: int, to: int) -> int:
+        """Move a consumer from the position it read to another, if no other worker has moved it on from there. Repeating a move that was made is fine."""
+        if to < expected or expected < 0:
+            raise CommitError("invalid_checkpoint", "to", f"{to} lies before {expected}")
+        if to > self.head():
+            raise CommitError("invalid_checkpoint", "to", f"{to} lies behind the head {self.head()}")
+        now = self.consumer(name)
+        if now == to:
+            return to
+        # A move is named by where it starts, so one alone can be made from there.
+        if now != expected or not self._create(f"consumers/{_safe(name)}", f"{expected:012d}.json", {"to": to}):
+            raise CommitError("checkpoint_conflict", name, f"expected {expected}, found {self.consumer(name)}")
+        return to
 
     def _preconditions(self, facts: DataFrame, asked: list[dict]) -> None:
         live = facts.where("retracted_position IS NULL")
@@ -353,6 +466,11 @@ class Store:
         return first.join(rows.where("acknowledged").select("key").distinct(), "key", "left_anti").where(F.col("position") > after).orderBy("position", "key").limit(limit)
 
 
+def _safe(name: str) -> str:
+    """A name of any characters as one of a folder."""
+    return hashlib.sha256(name.encode()).hexdigest()[:40]
+
+
 def dependency_state(facts: DataFrame, attributes: list[str] | None, valid_at: int) -> dict:
     df = facts if attributes is None else facts.where(F.col("attribute").isin(list(attributes)))
     edges = F.array_compact(F.array("valid_from", "valid_to"))

@@ -45,7 +45,7 @@ class ListOf(Type):
 
 @dataclass(frozen=True)
 class Record(Type):
-    """Fields as (name, type, required)."""
+    """Fields as (name, type, required), or with a fallback for those that are absent as (name, type, required, fallback)."""
 
     fields: tuple
 
@@ -67,7 +67,8 @@ class Bounded(Type):
     max: float | None = None
 
 
-_WIDER = {("integer", "number"), ("instant", "number"), ("instant", "integer"), ("date", "text")}
+#: Scalars that can stand where another is expected: every integer is a number.
+_WIDER = {("integer", "number")}
 
 
 def subsumes(wide: Type, narrow: Type) -> bool:
@@ -95,8 +96,8 @@ def subsumes(wide: Type, narrow: Type) -> bool:
     if isinstance(wide, ListOf):
         return isinstance(narrow, ListOf) and subsumes(wide.item, narrow.item)
     if isinstance(wide, Record) and isinstance(narrow, Record):
-        have = {n: (t, r) for n, t, r in narrow.fields}
-        return all((n in have and subsumes(t, have[n][0]) and (have[n][1] or not r)) if n in have else not r for n, t, r in wide.fields)
+        have = {n: (t, r) for n, t, r, *_ in narrow.fields}
+        return all(subsumes(t, have[n][0]) and (have[n][1] or not r) if n in have else not r for n, t, r, *_ in wide.fields)
     return False
 
 
@@ -128,13 +129,41 @@ def accepts(t: Type, x: Any) -> bool:
     if isinstance(t, ListOf):
         return isinstance(x, list) and all(accepts(t.item, y) for y in x)
     if isinstance(t, Record):
-        return isinstance(x, dict) and all(accepts(ft, x[n]) if n in x else not r for n, ft, r in t.fields) and set(x) <= {n for n, _, _ in t.fields}
+        return isinstance(x, dict) and all(accepts(ft, x[n]) if n in x else not r for n, ft, r, *_ in t.fields) and set(x) <= {n for n, *_ in t.fields}
     if isinstance(t, Union):
         return any(accepts(m, x) for m in t.members)
     size = len(x) if isinstance(x, (str, list)) else None
     return accepts(t.base, x) and (t.pattern is None or re.search(t.pattern, x) is not None) and (t.min_length is None or size >= t.min_length) and (t.max_length is None or size <= t.max_length) and (t.min is None or x >= t.min) and (t.max is None or x <= t.max)
 
 
+def normalize(t: Type, x: Any) -> Any:
+    """The value as its type sees it: undeclared fields gone, fallbacks filled in, unions by the first member that fits, whole
+    numbers of integers as such. Equal in meaning is then equal in content. Raises ValueError on what the type rejects."""
+    if isinstance(t, Record) and isinstance(x, dict):
+        out = {}
+        for n, ft, required, *fallback in t.fields:
+            if n in x:
+                out[n] = normalize(ft, x[n])
+            elif fallback:
+                out[n] = normalize(ft, fallback[0])
+            elif required:
+                raise ValueError(f"field {n!r} is missing")
+        return out
+    if isinstance(t, ListOf) and isinstance(x, list):
+        return [normalize(t.item, y) for y in x]
+    if isinstance(t, Union):
+        for m in t.members:
+            try:
+                return normalize(m, x)
+            except ValueError:
+                continue
+        raise ValueError(f"{x!r} is of no member")
+    inner = normalize(t.base, x) if isinstance(t, Bounded) else x
+    if not accepts(t, inner):
+        raise ValueError(f"{x!r} is not of the type")
+    return int(inner) if isinstance(t, Prim) and t.name in ("integer", "instant") else inner
+
+
 def check(t: Type, v: Column, vtype: Column) -> Column:
     """True for value structs of a type; lists and records are JSON facts and are only known to be such."""
     num, txt = V.part(v, V.NUMBER), V.part(v, V.TEXT)
@@ -211,3 +240,52 @@ def validate(facts: DataFrame, t: EntityType) -> DataFrame:
     invalid = judged.where("NOT _ok").select("entity", "attribute", F.lit("invalid").alias("problem")).distinct()
     unknown = judged.where("_ok IS NULL").select("entity", "attribute", F.lit("unknown").alias("problem")).distinct()
     return missing.unionByName(several).unionByName(invalid).unionByName(unknown)
+
+
+class ValidationRuns:
+    """Validation of a type's entities at positions of a store, run after run. Each run is a table of its own under ``path``."""
+
+    def __init__(self, store, t: EntityType, path: str):
+        self.store, self.type, self.path = store, t, path
+
+    def run(self, basis=None) -> int:
+        """Validate what is visible; returns the run's number."""
+        from factloom.functions.basis import visible
+
+        at = self.store.pin(basis)
+        facts = self.store.facts().where(visible(at))
+        n = max(self._runs(), default=0) + 1
+        found = validate(facts, self.type)
+        seen = facts.where(F.col("entity_type") == self.type.name).select("entity").distinct()
+        rows = seen.join(found, "entity", "left").select(F.lit(n).alias("run"), F.lit(at.position).cast("long").alias("position"), "entity", "attribute", "problem")
+        rows.write.parquet(f"{self.path}/{n:08d}")
+        return n
+
+    def _runs(self) -> list[int]:
+        p = self.store.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.store.spark._jsc.hadoopConfiguration())
+        return [int(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def rows(self, *runs: int) -> DataFrame:
+        kind = "run int, position long, entity string, attribute string, problem string"
+        paths = [f"{self.path}/{n:08d}" for n in (runs or sorted(self._runs()))]
+        return self.store.spark.read.schema(kind).parquet(*paths) if paths else self.store.spark.createDataFrame([], kind)
+
+    def violations(self, entity: str | None = None) -> DataFrame:
+        """Problems of all runs, of one entity or of all."""
+        rows = self.rows().where("problem IS NOT NULL")
+        return rows if entity is None else rows.where(F.col("entity") == entity)
+
+    def last_invalid(self) -> DataFrame:
+        """Entities that the last run found invalid, whether or not they still are."""
+        runs = self._runs()
+        return (self.rows(max(runs)) if runs else self.rows()).where("problem IS NOT NULL").select("entity").distinct()
+
+    def current_invalid(self) -> DataFrame:
+        """The same, if the last run saw the head; else none is known."""
+        runs = self._runs()
+        rows = self.rows(max(runs)) if runs else self.rows()
+        return rows.where((F.col("position") == self.store.head()) & F.col("problem").isNotNull()).select("entity").distinct()
+
+    def ever_invalid(self) -> DataFrame:
+        return self.violations().select("entity").distinct()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from factloom.functions import values as V
 from factloom.functions.basis import Basis
 from factloom.plans import ast as A
+from factloom.plans.attributes import check_attributes
 from factloom.plans.errors import ValidationError
 from factloom.sources.facts import FactBase, LiftedTable
 
@@ -31,8 +32,11 @@ class Bind:
 
 @dataclass
 class Rel:
+    """``key``: variables whose values tell all rows apart, if that is known. None: rows may repeat."""
+
     df: DataFrame
     binds: dict[A.Var, Bind] = field(default_factory=dict)
+    key: frozenset[A.Var] | None = None
 
     def col(self, v: A.Var) -> Column:
         return F.col(name(v))
@@ -44,7 +48,10 @@ class Rel:
     def widen(self, v: A.Var) -> Rel:
         if self.binds[v].family is None:
             return self
-        return Rel(self.df.withColumn(name(v), self.wide(v)), self.binds | {v: Bind(None)})
+        return Rel(self.df.withColumn(name(v), self.wide(v)), self.binds | {v: Bind(None)}, self.key)
+
+    def where(self, test: Column) -> Rel:
+        return Rel(self.df.where(test), self.binds, self.key)
 
 
 def name(v: A.Var) -> str:
@@ -170,7 +177,9 @@ class Compiler:
                 keep.append(value.column == (float(x.value) if lift.family == V.NUMBER else x.value) if x.type == lift.kind else F.lit(False))
             else:
                 keep.append(equal(value, constant(p.value)))
-        return self.project(df, keep, places)
+        rel = self.project(df, keep, places)
+        # The table is unique by its entity; with a constant subject there is one row.
+        return Rel(rel.df, rel.binds, frozenset({subject} if isinstance(subject, A.Var) else ()))
 
     def relations(self, patterns: list[A.Pattern]) -> list[Rel]:
         groups: dict[Any, list[A.Pattern]] = {}
@@ -189,14 +198,15 @@ class Compiler:
             if a.binds[v].family != b.binds[v].family:
                 a, b = a.widen(v), b.widen(v)
         binds = a.binds | {v: x for v, x in b.binds.items() if v not in a.binds}
+        key = joined_key(a.key, b.key, frozenset(shared))
         loose = [v for v in shared if a.binds[v].nullable or b.binds[v].nullable]
         if not shared:
-            return Rel(a.df.crossJoin(b.df), binds)
+            return Rel(a.df.crossJoin(b.df), binds, key)
         if not loose:
-            return Rel(a.df.join(b.df, [name(v) for v in shared]), binds)
+            return Rel(a.df.join(b.df, [name(v) for v in shared]), binds, key)
         right = b.df.select(*[F.col(name(v)).alias(f"_r_{v.column}" if v in shared else name(v)) for v in b.binds])
         on = reduce(lambda x, y: x & y, [F.col(name(v)).eqNullSafe(F.col(f"_r_{v.column}")) for v in shared])
-        return Rel(a.df.join(right, on).drop(*[f"_r_{v.column}" for v in shared]), binds)
+        return Rel(a.df.join(right, on).drop(*[f"_r_{v.column}" for v in shared]), binds, key)
 
     def conjunction(self, rels: list[Rel]) -> Rel:
         """Along shared variables, so a product remains only where nothing is shared."""
@@ -229,7 +239,7 @@ class Compiler:
         rel = self.conjunction(self.relations(patterns))
         own = [p for p in late if p.variables() <= set(rel.binds)]
         for p in own:
-            rel = Rel(rel.df.where(self.test(p, rel)), rel.binds)
+            rel = rel.where(self.test(p, rel))
         return rel, [p for p in late if p not in own]
 
     def correlated(self, outer: Rel, rel: Rel, late: list[A.Predicate]) -> tuple[DataFrame, Column]:
@@ -237,7 +247,9 @@ class Compiler:
         need = set().union(*(p.variables() for p in late)) if late else set()
         shared = [v for v in rel.binds if v in outer.binds]
         keep = [v for v in rel.binds if v in shared or v in need]
-        inner = rel.df.select(*[F.col(name(v)).alias(f"_i_{v.column}") for v in keep]).distinct() if keep else rel.df.limit(1).select(F.lit(1).alias("_i_"))
+        inner = rel.df.select(*[F.col(name(v)).alias(f"_i_{v.column}") for v in keep]) if keep else rel.df.limit(1).select(F.lit(1).alias("_i_"))
+        if keep and (rel.key is None or not rel.key <= set(keep)):
+            inner = inner.distinct()
         on = [equal(self.operand(v, outer), self.operand(v, rel, "_i_")) for v in shared]
         for p in late:
             side = [self.operand(t, rel, "_i_") if isinstance(t, A.Var) and t not in outer.binds else self.operand(t, outer) for t in (p.left, p.right)]
@@ -247,9 +259,9 @@ class Compiler:
     def negate(self, outer: Rel, n: A.Not) -> Rel:
         rel, late = self.inner(n, outer)
         if rel is None:
-            return Rel(outer.df.where(~reduce(lambda x, y: x & y, [self.test(p, outer) for p in late])), outer.binds)
+            return outer.where(~reduce(lambda x, y: x & y, [self.test(p, outer) for p in late]))
         inner, on = self.correlated(outer, rel, late)
-        return Rel(outer.df.join(inner, on, "left_anti"), outer.binds)
+        return Rel(outer.df.join(inner, on, "left_anti"), outer.binds, outer.key)
 
     def either(self, outer: Rel, o: A.Or) -> Rel:
         """One pass: predicates are tested, patterns and negations leave a marker on distinct outer keys; never a union."""
@@ -275,17 +287,21 @@ class Compiler:
             hit = F.coalesce(F.col(mark), F.lit(False))
             tests.append(~hit if isinstance(alt, A.Not) else hit)
         df = df.where(reduce(lambda x, y: x | y, tests)).drop(*[c for c in df.columns if c.startswith("_mark")])
-        return Rel(df, outer.binds)
+        return Rel(df, outer.binds, outer.key)
 
     # The whole.
 
     def bindings(self) -> Rel:
         from factloom.plans.rules import call
 
-        rels = self.relations(self.q.of(A.Pattern)) + [call(self, c) for c in self.q.of(A.RuleCall)]
-        rel = self.conjunction(rels) if rels else Rel(self.base.spark.range(1).select(F.lit(1).alias("_one")))
+        rels = self.relations(self.q.of(A.Pattern))
+        bound = self.conjunction(rels) if rels else None
+        # A call whose argument the patterns bind derives only what starts (or ends) there.
+        calls = [call(self, c, bound) for c in self.q.of(A.RuleCall)]
+        rels = ([bound] if bound else []) + calls
+        rel = self.conjunction(rels) if rels else Rel(self.base.spark.range(1).select(F.lit(1).alias("_one")), key=frozenset())
         for p in self.q.of(A.Predicate):
-            rel = Rel(rel.df.where(self.test(p, rel)), rel.binds)
+            rel = rel.where(self.test(p, rel))
         for n in self.q.of(A.Not):
             rel = self.negate(rel, n)
         for o in self.q.of(A.Or):
@@ -293,17 +309,28 @@ class Compiler:
         return rel
 
     def optional(self, rel: Rel) -> Rel:
-        """Left lookups of one value each: the least by stored type, value, transaction and id."""
+        """Left lookups of one value each: the least by stored type, value, transaction and id.
+
+        The unique table that alone has an attribute has one value at most, read as it is; elsewhere only the values of
+        the asked entities are aggregated.
+        """
         row, fields = self.q.optional
+        key = rel.col(row) if rel.binds[row].family == V.TEXT else V.part(rel.wide(row), V.TEXT)
+        asked = rel.df.select(key.alias("entity")).distinct()
         for attribute, v in fields:
-            scan = self.base.scan(attribute, self.basis)
-            tag = reduce(lambda c, kv: c.when(F.col("vtype") == kv[0], kv[1]), list(V.TAG_ORDER.items())[1:], F.when(F.col("vtype") == "boolean", 1))
-            one = scan.df.groupBy(F.col("entity").alias("_e")).agg(F.min_by("v", F.struct(tag, "v", "tx_id", "id")).alias(name(v)))
-            key = rel.col(row) if rel.binds[row].family == V.TEXT else V.part(rel.wide(row), V.TEXT)
+            table = self.base.star(attribute)
+            if table is not None:
+                family = table.columns[attribute].family
+                one = table.base(self.basis).where(table.columns[attribute].column.isNotNull()).select(table.entity.alias("_e"), table.native(attribute).alias(name(v)))
+            else:
+                scan = self.base.scan(attribute, self.basis)
+                family = scan.family
+                tag = reduce(lambda c, kv: c.when(F.col("vtype") == kv[0], kv[1]), list(V.TAG_ORDER.items())[1:], F.when(F.col("vtype") == "boolean", 1))
+                one = scan.df.join(asked, "entity", "left_semi").groupBy(F.col("entity").alias("_e")).agg(F.min_by("v", F.struct(tag, "v", "tx_id", "id")).alias(name(v)))
             df = rel.df.join(one, key == F.col("_e"), "left").drop("_e")
-            if scan.family is None:
+            if family is None:
                 df = df.withColumn(name(v), F.coalesce(F.col(name(v)), V.literal(None)))
-            rel = Rel(df, rel.binds | {v: Bind(scan.family, True)})
+            rel = Rel(df, rel.binds | {v: Bind(family, True)}, rel.key)
         return rel
 
     def result(self) -> Rel:
@@ -318,8 +345,8 @@ class Compiler:
             for op, source, target in q.aggregate:
                 o = self.operand(source, rel)
                 if op == "count":
-                    # Nulls count once, as one value.
-                    c = F.count_distinct(o.wide) if o.nullable or o.family is None else F.count_distinct(o.column)
+                    # Nulls count once, as one value. Where the source alone tells rows apart, each row has a value of its own.
+                    c = F.count("*") if rel.key is not None and rel.key <= {source} else F.count_distinct(o.wide) if o.nullable or o.family is None else F.count_distinct(o.column)
                     binds[target] = Bind(V.NUMBER)
                 else:
                     c = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[op](o.number)
@@ -328,9 +355,13 @@ class Compiler:
             df = rel.df.groupBy(*[name(v) for v in groups]).agg(*aggs)
             rel = Rel(df, binds)
             for h in q.having:
-                rel = Rel(rel.df.where(self.test(h, rel)), rel.binds)
+                rel = rel.where(self.test(h, rel))
+        elif groups:
+            df = rel.df.select(*[name(v) for v in groups])
+            unique = rel.key is not None and rel.key <= set(groups)
+            rel = Rel(df if unique else df.distinct(), {v: rel.binds[v] for v in groups})
         else:
-            rel = Rel(rel.df.select(*[name(v) for v in groups]).distinct(), {v: rel.binds[v] for v in groups}) if groups else Rel(rel.df.limit(1).select(F.lit(1).alias("_one")), {})
+            rel = Rel(rel.df.limit(1).select(F.lit(1).alias("_one")), {})
         for c in consts:
             o = constant(c)
             rel = Rel(rel.df.withColumn(f"v_{c}", o.column), rel.binds | {A.Var(f"?{c}"): Bind(o.family, o.nullable)})
@@ -343,6 +374,15 @@ class Compiler:
         return rel
 
 
+def joined_key(a: frozenset | None, b: frozenset | None, shared: frozenset) -> frozenset | None:
+    """The key of a join: one side's alone if the other's is among the shared variables, as then each row meets one at most."""
+    if b is not None and b <= shared and a is not None:
+        return a
+    if a is not None and a <= shared and b is not None:
+        return b
+    return None if a is None or b is None else a | b
+
+
 def total_order(rel: Rel, order: tuple, complete: bool = True) -> list[Column]:
     """The asked order, completed with all other columns where rows are cut."""
     asked = {o.variable for o in order}
@@ -352,6 +392,8 @@ def total_order(rel: Rel, order: tuple, complete: bool = True) -> list[Column]:
 
 def compiled(base: FactBase, q: dict | A.Query, basis: Basis) -> Rel:
     q = A.parse(q)
+    if base.known is not None:
+        check_attributes(q, base.known)
     if base.sealing is not None:
         q = base.sealing.rewrite(q)
     return Compiler(base, q, basis).result()

@@ -176,11 +176,13 @@ class Overlay(Source):
 
 @dataclass
 class FactBase:
-    """Sources queried together. ``sensitive`` attributes allow presence and blind equality only."""
+    """Sources queried together. ``sealing``: its attributes allow presence and blind equality only. ``known``: attributes
+    that queries may name; None allows all."""
 
     spark: SparkSession
     sources: list[Source] = field(default_factory=list)
     sealing: object | None = None
+    known: set[str] | None = None
 
     def scan(self, attribute: str | None, basis: Basis) -> Scan:
         scans = [s.scan(attribute, basis) for s in self.sources if attribute is None or s.has(attribute)]

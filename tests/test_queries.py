@@ -1,13 +1,17 @@
 """Values, negation, time, pages and errors on small facts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions.basis import Basis
 from factloom.operators.store import Store, correct, end, replace
 from factloom.plans import ast as A
-from factloom.plans.errors import CommitError, CursorError, UnboundVariable, ValidationError
+from factloom.plans import catalog
+from factloom.plans import explain as X
+from factloom.plans.errors import CommitError, CursorError, UnboundVariable, UnknownAttribute, ValidationError
+from factloom.sources.facts import FactBase, Lift, LiftedTable, lift
 
-J, F_, M, E, C, Ap, Y = 1767225600000, 1769904000000, 1772323200000, 1773964800000, 1774915200000, 1775001600000, 1777593600000
+DAY = 86_400_000
 
 
 def fact(e, a, v, **more):
@@ -16,12 +20,13 @@ def fact(e, a, v, **more):
 
 @pytest.fixture(scope="module")
 def families(spark, tmp_path_factory):
+    """A bakery's stock: amounts, moments and labels that look alike but are of different kinds."""
     s = Store(spark, f"file://{tmp_path_factory.mktemp('store')}/s", clock=lambda: 1000)
     s.transact(
         [
-            fact("42", ":d/code", "007"), fact("42", ":d/count", 7), fact("42", ":d/enabled", True), fact("42", ":d/instant", {"type": "datetime", "value": 1700000000000}), fact("42", ":d/data", {"type": "json", "value": {"ok": True}}), fact("42", ":d/owner", {"type": "ref", "value": "7"}),
-            fact("ln", ":d/left", 7), fact("rn", ":d/right", 7), fact("ls", ":d/left", "7"), fact("rs", ":d/right", "7"), fact("ro", ":d/right", 8),
-            fact("e1", ":d/eq", 7), fact("e2", ":d/eq", {"type": "datetime", "value": 7}), fact("e3", ":d/eq", "7"), fact("e4", ":d/eq", 8),
+            fact("loaf:1", ":stock/label", "0450"), fact("loaf:1", ":stock/grams", 450), fact("loaf:1", ":stock/fresh", False), fact("loaf:1", ":stock/baked", {"type": "datetime", "value": 90_000}), fact("loaf:1", ":stock/mix", {"type": "json", "value": {"rye": 2, "oat": 1}}), fact("loaf:1", ":stock/oven", {"type": "ref", "value": "450"}),
+            fact("tin:a", ":tin/holds", 450), fact("tin:b", ":tin/holds", "450"), fact("tin:c", ":tin/holds", 900), fact("order:1", ":order/wants", 450), fact("order:2", ":order/wants", "450"), fact("order:3", ":order/wants", True),
+            fact("s1", ":scale/shows", 12.5), fact("s2", ":scale/shows", {"type": "datetime", "value": 30}), fact("s3", ":scale/shows", 30), fact("s4", ":scale/shows", "30"), fact("s5", ":scale/shows", 31), fact("s6", ":scale/shows", "light"),
         ],
         actor="user:a",
     )
@@ -35,42 +40,50 @@ def ask(s, find, where, basis=None, **more):
 
 
 def test_projection_keeps_families(families):
-    got = dict(ask(families, ["?a", "?v"], [["42", "?a", "?v"]]))
-    assert got == {":d/code": "007", ":d/count": 7.0, ":d/enabled": True, ":d/instant": 1700000000000.0, ":d/data": '{"ok":true}', ":d/owner": "7"}
+    got = dict(ask(families, ["?a", "?v"], [["loaf:1", "?a", "?v"]]))
+    assert got == {":stock/label": "0450", ":stock/grams": 450.0, ":stock/fresh": False, ":stock/baked": 90_000.0, ":stock/mix": '{"oat":1,"rye":2}', ":stock/oven": "450"}
 
 
 def test_joins_and_predicates_by_family(families):
-    assert ask(families, ["?x", "?y"], [["?x", ":d/left", "?v"], ["?y", ":d/right", "?v"]]) == [("ln", "rn"), ("ls", "rs")]
-    of = lambda op, v: [r[0] for r in ask(families, ["?e"], [["?e", ":d/eq", "?v"], [op, "?v", v]])]
-    assert of("=", 7) == ["e1", "e2"]
-    assert of("!=", 7) == ["e3", "e4"]
-    assert of(">", 7) == ["e4"]
-    assert ask(families, ["?e"], [["?e", ":d/eq", {"type": "datetime", "value": 7}]]) == [("e2",)]
-    assert ask(families, ["?e"], [["?e", ":d/owner", {"type": "string", "value": "7"}]]) == []
+    assert ask(families, ["?t", "?o"], [["?t", ":tin/holds", "?v"], ["?o", ":order/wants", "?v"]]) == [("tin:a", "order:1"), ("tin:b", "order:2")]
+    of = lambda op, v: [r[0] for r in ask(families, ["?e"], [["?e", ":scale/shows", "?v"], [op, "?v", v]])]
+    assert of("=", 30) == ["s2", "s3"] and of("=", "30") == ["s4"]
+    assert of("!=", 30) == ["s1", "s4", "s5", "s6"]
+    assert of(">=", 30) == ["s2", "s3", "s5"] and of("<", 30) == ["s1"]
+    assert ask(families, ["?e"], [["?e", ":scale/shows", {"type": "datetime", "value": 30}]]) == [("s2",)]
+    assert ask(families, ["?e"], [["?e", ":stock/oven", {"type": "string", "value": "450"}]]) == []
+    assert ask(families, ["?e"], [["?e", ":stock/oven", "450"]]) == [("loaf:1",)]
 
 
 def test_distinct_and_bag(families):
-    assert ask(families, ["?n", "?s"], [["?e", ":d/eq", "?v"]], aggregate=[["count", "?v", "?n"], ["sum", "?v", "?s"]]) == [(3, 22.0)]
-    assert len(ask(families, ["?v"], [["?e", ":d/eq", "?v"]])) == 3
+    assert ask(families, ["?n", "?s"], [["?e", ":scale/shows", "?v"]], aggregate=[["count", "?v", "?n"], ["sum", "?v", "?s"]]) == [(5, 103.5)]
+    assert len(ask(families, ["?v"], [["?e", ":scale/shows", "?v"]])) == 5
 
 
 def test_time(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/s", clock=lambda: M)
-    at = lambda e, a, v, x, y=None: {"op": "assert", "entity": e, "attribute": a, "value": v, "validFrom": x, "validTo": y}
-    s.transact([at("vendor", ":t/vendor", "approved", J, F_), at("vendor", ":t/vendor", "approved", M), at("finite", ":t/exception", "approved", J, E), at("open", ":t/exception", "approved", J)], actor="user:pat")
-    r = s.transact([at("review", ":t/review", "approved", F_, Ap)], actor="user:lee")
-    s.transact([{"op": "retract", "id": r.ids[0]}, at("review", ":t/review", "approved", F_, Y)], actor="user:kim")
-    expiring = [{"pattern": ["?e", ":t/exception", "approved"], "valid": {"to": "?end"}}, [">", "?end", M], ["<=", "?end", C]]
-    assert ask(s, ["?e", "?end"], expiring, Basis(position=3, valid_at=M)) == [("finite", float(E))]
-    who = [["?r", ":t/review", "approved", "?tx"], ["?tx", ":_tx/actor", "?who"]]
-    assert [ask(s, ["?who"], who, Basis(position=p, valid_at=M)) for p in (1, 2, 3)] == [[], [("user:lee",)], [("user:kim",)]]
-    bounds = [{"pattern": ["vendor", ":t/vendor", "?v"], "valid": {"from": "?a", "to": "?b"}}]
-    assert ask(s, ["?a", "?b"], bounds, Basis(position=3), validTime="all") == [(float(J), float(F_)), (float(M), None)]
-    assert ask(s, ["?a", "?b"], bounds, Basis(position=3, valid_at=M)) == [(float(M), None)]
+    """Twelve plots of a garden: a crop each for some weeks, every fourth for good; one bed is planned by one hand and replanned by another."""
+    now = [40 * DAY]
+    s = Store(spark, f"file://{tmp_path}/s", clock=lambda: now[0])
+    plots = [(f"plot:{i}", ("kale", "leek", "bean")[i % 3], 7 * i * DAY, None if i % 4 == 0 else (7 * i + 20) * DAY) for i in range(12)]
+    sow = lambda e, v, a, b: fact(e, ":plot/crop", v, validFrom=a, **({} if b is None else {"validTo": b}))
+    s.transact([sow(*p) for p in plots], actor="hand:ada")
+    planned = s.transact([fact("bed", ":bed/plan", "beet", validFrom=10 * DAY, validTo=50 * DAY)], actor="hand:bo")
+    s.transact([fact("bed", ":bed/plan", "beet", validFrom=10 * DAY, validTo=90 * DAY), {"op": "retract", "id": planned.ids[0]}], actor="hand:cy")
+    for day in (0, 21, 45, 200):
+        want = sorted((e, v) for e, v, a, b in plots if a <= day * DAY and (b is None or b > day * DAY))
+        assert ask(s, ["?e", "?v"], [["?e", ":plot/crop", "?v"]], Basis(valid_at=day * DAY)) == want
+    soon = [{"pattern": ["?e", ":plot/crop", "?v"], "valid": {"to": "?end"}}, [">", "?end", 40 * DAY], ["<=", "?end", 56 * DAY]]
+    want = sorted((e, float(b)) for e, _, a, b in plots if a <= 40 * DAY and b is not None and 40 * DAY < b <= 56 * DAY)
+    assert want and ask(s, ["?e", "?end"], soon, Basis(valid_at=40 * DAY)) == want
+    who = [["?b", ":bed/plan", "beet", "?tx"], ["?tx", ":_tx/actor", "?who"]]
+    assert [ask(s, ["?who"], who, Basis(position=p, valid_at=12 * DAY)) for p in (1, 2, 3)] == [[], [("hand:bo",)], [("hand:cy",)]]
+    span = [{"pattern": ["bed", ":bed/plan", "?v"], "valid": {"from": "?a", "to": "?b"}}]
+    assert [ask(s, ["?a", "?b"], span, Basis(position=p), validTime="all") for p in (2, 3)] == [[(10.0 * DAY, 50.0 * DAY)], [(10.0 * DAY, 90.0 * DAY)]]
+    assert ask(s, ["?a", "?b"], span, Basis(position=3, valid_at=90 * DAY)) == []
     with pytest.raises(ValidationError):
-        s.query({"find": ["?v"], "where": [["vendor", ":t/vendor", "?v"]], "validTime": "all"}, Basis(valid_at=M))
+        s.query({"find": ["?v"], "where": [["bed", ":bed/plan", "?v"]], "validTime": "all"}, Basis(valid_at=0))
     # A retraction that lies behind a cut doesn't show in it.
-    assert s.facts().where(f"id = '{r.ids[0]}' AND retracted_position = 3").count() == 1
+    assert s.facts().where(f"id = '{planned.ids[0]}' AND retracted_position = 3").count() == 1
 
 
 def test_pages_are_stable(spark, tmp_path):
@@ -157,11 +170,62 @@ def test_history_at_every_cut(spark, tmp_path):
 def test_commands_and_preconditions(families):
     n = families.head()
     with pytest.raises(CommitError) as e:
-        families.transact([fact("42", ":d/code", "x")], preconditions=[{"kind": "AttributeAbsent", "entity": "42", "attribute": ":d/code"}])
+        families.transact([fact("loaf:1", ":stock/label", "x")], preconditions=[{"kind": "AttributeAbsent", "entity": "loaf:1", "attribute": ":stock/label"}])
     assert e.value.code == "precondition" and families.head() == n
     with pytest.raises(CommitError):
-        families.transact([fact("42", ":_tx/actor", "x")])
+        families.transact([fact("loaf:1", ":_tx/actor", "x")])
     with pytest.raises(CommitError):
         families.transact([{"op": "assert", "entity": "e", "attribute": ":a", "value": 1, "validFrom": 0.5}])
     with pytest.raises(CommitError):
         families.transact([fact("e", ":a", float("nan"))])
+
+
+def test_unknown_attributes_have_a_suggestion(families):
+    base = families.base()
+    base.known = {":stock/label", ":stock/grams", ":tin/holds"}
+    for attribute, hint in ((":stock/grmas", ":stock/grams"), (":stock/lable", ":stock/label"), (":oven/heat", None)):
+        with pytest.raises(UnknownAttribute) as e:
+            base.query({"find": ["?e"], "where": [["?e", ":tin/holds", 450], ["not", ["?e", attribute, "?v"]]]})
+        assert e.value.more["suggestion"] == hint and e.value.path == "where[1]"
+    assert base.query({"find": ["?e"], "where": [["?e", ":tin/holds", 450], ["?t", ":_tx/position", "?p"]]}).count() == 1
+
+
+def test_explain(families):
+    base, q = families.base(), {"find": ["?e"], "where": [["?e", ":scale/shows", "?v"], [">", "?v", 1], ["not", ["?e", ":tin/holds", "?x"]]]}
+    got = X.explain(base, q)
+    assert got["clauses"] == {"patterns": 1, "predicates": 1, "negations": 1, "disjunctions": 0, "rule_calls": 0, "rules": 0, "aggregates": 0}
+    assert "LeftAnti" in got["steps"][0][1]
+    assert [n for n, _ in X.explain_page(base, {"inner": q, "includeCount": True})["steps"]] == ["main", "count"]
+    assert X.debug(base, q)["rows"] == 4
+
+
+def test_distinct_only_where_rows_may_repeat(spark, sf_dir):
+    base = catalog.lifted(spark, sf_dir, "orders", "customer")
+    plan = lambda find, where, **more: X.explain(base, {"find": find, "where": where, **more})["steps"][0][1]
+    order, of = ["?o", ":order/total", "?t"], ["?o", ":order/customer", "?c"]
+    assert "Aggregate" not in plan(["?o", "?t"], [order])
+    assert "Aggregate" not in plan(["?o", "?n"], [of, ["?c", ":customer/name", "?n"]])  # a row of orders meets one customer
+    assert "Aggregate" in plan(["?t"], [order])
+    assert "Aggregate" in plan(["?c", "?n"], [of, ["?c", ":customer/name", "?n"]])
+    assert "distinct" not in plan(["?t", "?n"], [order], aggregate=[["count", "?o", "?n"]])
+
+
+def test_rules_from_bound_values(spark):
+    df = spark.createDataFrame([(i, i * 2 + k) for i in range(1, 40) for k in (0, 1)] + [(90, 91), (91, 92), (92, 90)], "a int, b int")
+    facts = [("n:%d" % a, "n:%d" % b) for a, b in {(r.a, r.b) for r in df.collect()}]
+    nodes = spark.createDataFrame(facts, "x string, y string")
+    table = LiftedTable(nodes, F.col("x"), {":n/next": Lift(F.col("y"), "ref")}, unique=False)
+    base = FactBase(spark, [lift(spark.createDataFrame([(2,), (90,), (17,)], "n int"), "start", F.col("n"), at="n:ref:n"), table])
+    rules = [{"name": "reach", "maxDepth": 6, "body": [["?x", ":n/next", "?y"]]}, {"name": "reach", "maxDepth": 6, "body": [["?x", ":n/next", "?z"], ["reach", "?z", "?y"]]}]
+
+    def reach(x, depth):
+        seen, level = set(), {x}
+        for _ in range(depth + 1):
+            level = {b for a, b in facts if a in level}
+            seen |= level
+        return seen
+
+    got = base.query({"find": ["?s", "?y"], "where": [["?s", ":start/at", "?x"], ["reach", "?x", "?y"]], "rules": rules}).collect()
+    assert {tuple(r) for r in got} == {(f"start:{n}", y) for n in (2, 90, 17) for y in reach(f"n:{n}", 6)}
+    got = base.query({"find": ["?s", "?x"], "where": [["?s", ":start/at", "?y"], ["reach", "?x", "?y"]], "rules": rules}).collect()
+    assert {tuple(r) for r in got} == {(f"start:{n}", x) for n in (2, 90, 17) for x in {a for a, _ in facts} if f"n:{n}" in reach(x, 6)}
