@@ -4,18 +4,21 @@
    Two sets that are similar enough share ``COMMON`` shingles among the first n - ceil(t n) + COMMON of each.
 2. Documents with the same prefix and set size are one group, so copies cost one group; only groups travel, as packed
    (shingle, group) entries.
-3. The groups that share a shingle are a bucket; sizes and the shingle's places in the sets filter its pairs. Buckets expand to the groups' distinct sets.
-4. Each set first meets one leader of its buckets; whole shingle sets are compared, and links give components. Then all
-   pairs of a bucket that are still in different components are compared. A large group of near copies thus costs a star
-   and not its square, and no pair that could connect two components is left out.
+3. The groups that share a shingle are a bucket. Pairs of groups are filtered by their sizes, the places of the shared
+   shingles and how many they share; only pairs of groups that pass expand to the groups' distinct sets.
+4. Each group first meets one leader, the least of those its buckets offer, and its sets the first set of the group; whole
+   shingle sets are compared, and links give components. Then pairs of groups that hold sets of different components meet
+   in blocks of bounded size; their sets are compared unless parity bitmaps prove too great a difference. A large group
+   of near copies thus costs a star and not its square, and no pair that could connect two components is left out.
 5. Copies join the component of their set at the end.
 
-Shingles are 64-bit hashes in candidate search and 48-bit hashes in comparisons of two sets; sets are told apart by 128
-bits.
+Shingles are 64-bit hashes (6 bits of frequency, 58 of hash); sets are told apart by 128 bits. The number of parts that
+entries are dealt to grows with their number, so a part stays at some ``PART`` entries whatever the corpus.
 
 Edge cases: documents without words, or with a null text, have no shingles and no links. A null id takes no part and
-gets component_id null. Ids are taken to be unique; a row that occurs twice gives two equal results. Ties don't arise:
-the smallest id names a component. An empty table gives no rows. Other columns are ignored.
+gets component_id null. A row that occurs twice gives two equal results; rows of one id but different texts keep their
+own n_shingles and may share each other's links. Ties don't arise: the smallest id names a component. A text of any length is one set of all its shingles. An
+empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SHINGLE, PERCENT = 5, 75
 COMMON = 4
 #: Frequent shingles of this level (1 + 3 for each doubling of the count) or more skip the gathering by shingle: they go to the leaders at once.
 HOT_LEVEL = 24
+#: Entries in a part, members of a bucket on one side of a block pair, and longs in a set's parity bitmap.
+PART, SIDE, BITS = 1 << 21, 256, 8
 
 
 class Order:
@@ -90,13 +95,21 @@ def digests(key: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarr
     return n, first, second, group
 
 
+def parity(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS longs of each document: each shingle turns one bit. Bitmaps differ in no more bits than sets in shingles."""
+    n, width = len(bounds) - 1, 64 * BITS
+    at = np.repeat(np.arange(n), np.diff(bounds)) * width + (mix(key) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, BITS)
+
+
 def _sets(order, percent: int, n: int):
     def sets(batches):
         for batch in batches:
             for p in pieces(batch.column("text"), lower=True):
                 key, bounds = shingle_sets(p, order.value, n)
                 size, a, b, g = digests(key, bounds, percent)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(size.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (a, b, g)]], ["doc_id", "n_shingles", "fp1", "fp2", "grp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(size.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (a, b, g)], pa.FixedSizeListArray.from_arrays(pa.array(parity(key, bounds).ravel()), BITS).cast(pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "grp", "bits"])
 
     return sets
 
@@ -205,24 +218,17 @@ def _least(bucket: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np
     return bucket[new], group[new], place[new], np.diff(np.append(np.flatnonzero(new), len(bucket)))
 
 
-def _pack48(order, n: int):
+def _pack(order, n: int):
     def pack(batches):
         for batch in batches:
             for p in pieces(batch.column("text"), lower=True):
                 key, bounds = shingle_sets(p, order.value, n)
-                short = mix(key) & np.uint64((1 << 48) - 1)
-                low, high = (short & np.uint64(0xFFFFFFFF)).astype(np.uint32), (short >> np.uint64(32)).astype(np.uint16)
-                blobs = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                blobs = [key[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
 
     return pack
 
 
-def _set48(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
 def _compare(percent: int):
     def compare(batches):
         for batch in batches:
@@ -231,8 +237,8 @@ def _compare(percent: int):
             a = batch.column("a").to_numpy()
             for i in range(batch.num_rows):
                 if a[i] != now:
-                    now, mine = a[i], _set48(batch.column("ga")[i].as_buffer())
-                other = _set48(batch.column("gb")[i].as_buffer())
+                    now, mine = a[i], np.frombuffer(batch.column("ga")[i].as_buffer(), np.uint64)
+                other = np.frombuffer(batch.column("gb")[i].as_buffer(), np.uint64)
                 x = np.sort(np.concatenate([mine, other]))
                 both = int((x[1:] == x[:-1]).sum())
                 keep[i] = 100 * both >= percent * (len(x) - both)
@@ -241,59 +247,91 @@ def _compare(percent: int):
     return compare
 
 
+def meet(rows: DataFrame, key: str, row: str, condition) -> DataFrame:
+    """Pairs of rows of one key, each once; the second's columns have a 2 behind them. Column ``s`` has the number of rows of the key.
+
+    Rows of a large key are dealt to blocks of some SIDE rows, and each pair of blocks is a key of the join of its own.
+    """
+    blocks = F.ceil(F.col("s") / SIDE).cast("int")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(row), blocks).cast("int"))
+    left = rows.withColumn("_j", F.explode(F.sequence(F.col("_own"), blocks - 1))).withColumnRenamed("_own", "_i")
+    right = rows.select(*[F.col(c).alias(f"{c}2") for c in rows.columns], F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i2"))
+    same = (F.col(key) == F.col(f"{key}2")) & (F.col("_i") == F.col("_i2")) & (F.col("_j") == F.col("_own2"))
+    once = (F.col("_i") < F.col("_j")) | (F.col(row) < F.col(f"{row}2"))
+    return left.join(right, same & once & condition).drop("_i", "_j", "_i2", "_own2")
+
+
 def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, hot_level: int = HOT_LEVEL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "jaccard"), partitions(spark)
+    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     order = spark.sparkContext.broadcast(Order(*frequent_grams(docs, shingle, lower=True)))
-    sets = scratch.table(docs.mapInArrow(_sets(order, percent, shingle), "doc_id long, n_shingles long, fp1 long, fp2 long, grp long"), "sets")
+    sets = scratch.table(docs.mapInArrow(_sets(order, percent, shingle), "doc_id long, n_shingles long, fp1 long, fp2 long, grp long, bits array<long>"), "sets")
     real = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = scratch.table(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("grp").alias("grp")), "reps")
+    reps = scratch.table(real.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")), "reps")
+    groups = scratch.table(reps.groupBy("grp").agg(F.min("rep").alias("lead"), F.first("n").alias("n"), F.count("*").alias("members")), "groups")
+    entries = groups.agg(F.sum(F.col("n") * (100 - percent) / 100 + COMMON + 1).alias("n")).first()["n"] or 0
+    parts = max(partitions(spark), int(entries) // PART)
     dealt = docs.mapInArrow(_entries(order, percent, shingle, parts, hot_level), "part int, entries binary").repartitionById(parts, F.col("part"))
     found = scratch.table(dealt.mapInArrow(_buckets(hot_level), "bucket long, grp long, place int, k int"), "found")
-
-    # Expand groups to their distinct sets; sets that share a group are a bucket too.
-    shared = reps.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("grp", F.lit("group")).alias("bucket"), "grp", F.lit(0).alias("place"), F.lit(COMMON).cast("long").alias("k"))
-    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.greatest(F.sum("k"), F.lit(1)).alias("k")).unionByName(shared).join(reps.select("grp", "rep", "n"), "grp")
-    # A size class holds sizes within the ratio; a class's members meet its leader and the one of the class below.
+    # A size class holds sizes within the ratio; a class's groups meet its leader and the one of the class below.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    held = scratch.table(held.select("bucket", "rep", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c")), "held")
+    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.greatest(F.sum("k"), F.lit(1)).alias("k")).join(groups.select("grp", "lead", "n"), "grp")
+    held = scratch.table(held.select("bucket", "grp", "lead", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c")), "held")
     scratch.drop("found")
 
     fits = lambda n, m, room: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))  # noqa: E731  all that is shared lies from the first common shingle on
     share = lambda n, m: F.least(F.lit(COMMON), F.ceil(n * percent / 100), F.ceil(m * percent / 100))  # noqa: E731  what prefixes share
 
+    def close(x: str, y: str, n, m):
+        """False if the bitmaps differ in more bits than similar sets differ in shingles, n + m less twice what they share."""
+        bits = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, BITS)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+        return (100 + percent) * bits <= (100 - percent) * (n + m)
+
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        needed = sieve(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k")
+        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), f"{name}-ids")
+        needed = sieve(ids, "k")
         grams = docs.where("doc_id IS NOT NULL").withColumn("_needed", needed(F.col("doc_id"))).where("_needed").select("doc_id", "text")
-        grams = scratch.table(grams.mapInArrow(_pack48(order, shingle), "doc_id long, grams binary"), f"{name}-grams", "none")
+        grams = scratch.table(grams.mapInArrow(_pack(order, shingle), "doc_id long, grams binary"), f"{name}-grams", "none")
         half = pairs.join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
         whole = half.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").select("a", "b", "ga", "gb")
         links = scratch.table(whole.mapInArrow(_compare(percent), "a long, b long"), f"{name}-links")
         scratch.drop(f"{name}-grams")
         return links
 
-    # First each set meets one leader, the least of those that its buckets offer.
-    leaders = held.groupBy("bucket", "c").agg(F.min(F.struct("rep", "n", "room")).alias("l"))
-    near = held.unionByName(held.withColumn("c", F.col("c") - 1)).join(leaders, ["bucket", "c"]).where(F.col("l.rep") < F.col("rep"))
-    near = near.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("l.n").alias("m"), "k", F.least("room", "l.room").alias("room"))
-    near = near.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"), F.max("room").alias("room"))
+    # First each group meets one leader, the least of those that its buckets offer, and its sets their group's first.
+    leaders = scratch.table(held.groupBy("bucket", "c").agg(F.min(F.struct("lead", "grp", "n", "room")).alias("l")), "leaders")
+    near = held.unionByName(held.withColumn("c", F.col("c") - 1)).join(leaders, ["bucket", "c"]).where(F.col("l.lead") < F.col("lead"))
+    near = near.select(F.col("l.lead").alias("a"), "grp", "n", F.col("l.n").alias("m"), "k", F.least("room", "l.room").alias("room"))
+    near = near.groupBy("a", "grp").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"), F.max("room").alias("room"))
     near = near.where(fits(F.col("n"), F.col("m"), F.col("room")) & (F.col("k") >= share(F.col("n"), F.col("m"))))
-    tried = scratch.table(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    star = near.groupBy("grp").agg(F.min("a").alias("a")).join(reps.select("grp", F.col("rep").alias("b")), "grp").select("a", "b")
+    inside = reps.join(groups.where("members > 1").select("grp", F.col("lead").alias("a")), "grp").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"))
+    tried = scratch.table(star.unionByName(inside).distinct(), "tried")
     comps = scratch.table(connected(verify(tried, "first"), scratch, "stars"), "comps")
-    # Then all that buckets still hold in different components.
-    placed = held.join(comps, held["rep"] == comps["node"], "left").select("bucket", "rep", "n", "room", "k", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("bucket")
+    # Then all pairs of groups that still hold sets of different components.
+    members = reps.join(comps, reps["rep"] == comps["node"], "left").select("grp", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+    members = scratch.table(members, "members")
+    spans = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("s"), F.first("bits").alias("bits"))
+    placed = held.select("bucket", "grp", "n", "room", "k").join(spans.withColumn("bits", F.when(F.col("s") == 1, F.col("bits"))).drop("s"), "grp")
+    placed = scratch.table(placed, "spans")
+    open_ = scratch.table(placed.groupBy("bucket").agg(F.min("lo").alias("_a"), F.max("hi").alias("_b"), F.count("*").alias("s")).where("_a < _b").select("bucket", "s"), "open")
     placed = scratch.table(placed.join(open_, "bucket"), "placed")
-    other = placed.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("comp").alias("comp2"))
-    rest = placed.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & fits(F.col("n"), F.col("n2"), F.least("room", "room2")))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), share(F.col("n"), F.col("n2")).alias("least")).distinct()
+    n, n2 = F.col("n"), F.col("n2")
+    apart = (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & fits(n, n2, F.least("room", "room2")) & F.coalesce(close("bits", "bits2", n, n2), F.lit(True))
+    rest = meet(placed, "bucket", "grp", apart).select(F.least("grp", "grp2").alias("g"), F.greatest("grp", "grp2").alias("h"), share(n, n2).alias("least")).distinct()
     # The buckets that both are in count the shingles their prefixes share; a bucket's k is the same for all its groups.
-    lists = placed.groupBy("rep").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
-    rest = rest.join(lists.select(F.col("rep").alias("a"), F.col("have").alias("x")), "a").join(lists.select(F.col("rep").alias("b"), F.col("have").alias("y")), "b")
+    lists = placed.groupBy("grp").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
+    rest = rest.join(lists.select(F.col("grp").alias("g"), F.col("have").alias("x")), "g").join(lists.select(F.col("grp").alias("h"), F.col("have").alias("y")), "h")
     both = F.aggregate(F.array_intersect("x", "y"), F.lit(0).cast("long"), lambda total, bucket: total + bucket["k"])
-    rest = rest.where(both >= F.col("least")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    rest = rest.where(both >= F.col("least")).select("g", "h")
+    # What passed expands to sets; so do groups whose own sets are of different components.
+    second = members.select(*[F.col(c).alias(f"{c}2") for c in members.columns])
+    differ = (F.col("comp") != F.col("comp2")) & close("bits", "bits2", n, n2)
+    across = rest.join(members, F.col("g") == F.col("grp")).join(second, (F.col("h") == F.col("grp2")) & differ).select("rep", "rep2")
+    within = meet(members.join(spans.where("lo < hi").select("grp", "s"), "grp"), "grp", "rep", differ).select("rep", "rep2")
+    rest = across.unionByName(within).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = scratch.table(rest, "rest")
     if rest.take(1):
         more = verify(rest, "second")

@@ -1,17 +1,20 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One table of slots serves all languages: a slot is a bitmask with a bit for each language, so an n-gram's masks, combined
-by AND over its slots, name all languages whose filter holds it. A language's filter holds its most frequent n-grams that
-it has clearly oftener than the other languages do together. A document's popcounts by language are corrected for the
-filters' false positives (each language's share of set slots to the power of the number of hashes), and the languages'
-corrected shares decide.
+One table of slots serves all languages: a slot is a bitmask with a bit for each language (a word of 64 bits for every 64
+languages), so an n-gram's masks, combined by AND over its slots, name all languages whose filter holds it. A language's
+filter holds its ``FILTER_SIZE`` most frequent n-grams, whether or not others have them too. A document's popcounts by
+language are corrected for the n-grams that answer without being held: a foreign n-gram does so with the share of all hash
+classes that answer for the language, which counts both what was folded into one class and what slots confuse. The
+greatest corrected count decides; the score is its share of the document's n-grams.
 
-Bounds: n-grams are counted in 2**GRAM_BITS hash classes, so the counts that reach the driver are at most languages x
-2**GRAM_BITS, and the broadcast table is 2**SLOT_BITS masks, whatever the corpus. At most 63 languages.
+Bounds: n-grams are counted in 2**GRAM_BITS hash classes; FILTER_SIZE of each language reach the driver, and the broadcast
+masks are 2**GRAM_BITS words for every 64 languages, whatever the corpus. Any number of languages will do.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text with letters too short for any n-gram
 or with none known gets the language with most training text, score 0. Without training rows all is ``und``. Ties go to
-the first language in code-point order. Repeated rows give repeated results.
+the first language in code-point order. A text of any length is read whole, a document of more than a piece of its own.
+Repeated rows give repeated results, and an empty table none. Columns other than the named ones are ignored, whatever
+their names, unless they are asked for in ``keep``.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import Scratch
 from factloom.llm.words import mix, pieces
 
-GRAM_BITS, SLOT_BITS, HASHES, NGRAMS = 18, 20, 2, (2, 3, 4)
+GRAM_BITS, SLOT_BITS, HASHES, NGRAMS = 20, 20, 2, (2, 3, 4)
 #: N-grams in each language's filter.
 FILTER_SIZE = 20_000
+#: Languages whose counts a task holds at once.
+HELD = 32
 
 
 def grams(p, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,60 +61,76 @@ _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 
 
 def learn(docs: DataFrame, size: int = FILTER_SIZE) -> tuple[list[str], np.ndarray, str]:
-    """From docs (text, lang): the languages in code-point order, the slot table, and the language with most text."""
+    """From docs (text, lang): the languages in code-point order, the slot table (words of 64 languages x slots), and the language with most text."""
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
+
+        def counted():
+            for lang, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
+            total.clear()
+
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for lang in set(langs):
-                mine = batch.column("text").filter(pa.array([x == lang for x in langs]))
+            for lang in sorted(set(langs)):
                 if lang not in total:
+                    if len(total) == HELD:
+                        yield from counted()
                     total[lang] = np.zeros(1 << GRAM_BITS, np.int64)
+                mine = batch.column("text").filter(pa.array([x == lang for x in langs]))
                 for p in pieces(mine):
                     for n in NGRAMS:
                         x, _ = grams(p, n)
                         total[lang] += np.bincount(x & np.uint32((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
-                if len(total) > 63:
-                    raise ValueError("at most 63 languages")
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "gram", "n"])
+        yield from counted()
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
-    got = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    table = np.zeros((len(langs), 1 << GRAM_BITS))
-    which = np.asarray(pa.compute.index_in(got.column("lang"), pa.array(langs, pa.string())).combine_chunks()) if langs else []
+    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = Scratch(docs.sparkSession, "language").table(sums, "sums")
+    total = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
+    seen = {r["lang"] for r in rows.select("lang").distinct().collect()}  # those without any n-gram too
+    langs = sorted(seen)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # 2**GRAM_BITS rows of each language at most
+    best = sums.where("n > 1").withColumn("nth", nth).where(F.col("nth") <= size).select("lang", "gram").toArrow()
+    slots = np.zeros((-(-len(langs) // 64), 1 << SLOT_BITS), np.uint64)
     if langs:
-        table[which, got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
-    share = (table + 0.5) / np.maximum(table.sum(1, keepdims=True), 1)
-    for k in range(len(langs)):
-        others = np.delete(share, k, 0).max(0) if len(langs) > 1 else np.zeros(1 << GRAM_BITS)
-        good = np.flatnonzero((table[k] > 1) & (share[k] > 2 * others))
-        good = good[np.argsort(-table[k][good], kind="stable")][:size]
-        for j in range(HASHES):
-            np.bitwise_or.at(slots, slot(good.astype(np.uint64), j), np.uint64(1 << k))
-    order = table.sum(1)
-    return langs, slots, langs[int(order.argmax())] if langs else "und"
+        which = np.asarray(pa.compute.index_in(best.column("lang"), pa.array(langs, pa.string())).combine_chunks())
+        gram = best.column("gram").to_numpy().astype(np.uint64)
+        for k in range(len(langs)):
+            mine = gram[which == k]
+            for j in range(HASHES):
+                slots[k // 64][slot(mine, j)] |= np.uint64(1 << k % 64)
+    return langs, slots, min(langs, key=lambda x: (-total.get(x, 0), x)) if langs else "und"
 
 
 def slot(gram: np.ndarray, j: int) -> np.ndarray:
     return mix(gram + np.uint64((j + 1) << 32)) & np.uint64((1 << SLOT_BITS) - 1)
 
 
+def answers(slots: np.ndarray) -> np.ndarray:
+    """The mask of each n-gram class: the AND of its slots, so all classes are answered once for all documents."""
+    every = np.arange(1 << GRAM_BITS, dtype=np.uint64)
+    masks = np.full((len(slots), 1 << GRAM_BITS), (1 << 64) - 1, np.uint64)
+    for j in range(HASHES):
+        masks &= slots[:, slot(every, j)]
+    return masks
+
+
+def corrected(hits: np.ndarray, total: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """N-grams that a language holds, from those that answered: hits = held + wrong x (total - held)."""
+    return np.clip((hits - wrong[:, None] * total) / np.maximum(1 - wrong[:, None], 1e-9), 0, total)
+
+
 def predict(docs: DataFrame, model: tuple, keep: tuple = ("doc_id",)) -> DataFrame:
     """(lang_pred, score) and the columns ``keep`` for each row of docs (doc_id, text)."""
     langs, slots, usual = model
     spark = docs.sparkSession
-    # All 2**GRAM_BITS classes answered once: the mask of each n-gram class is the AND of its slots.
-    every = np.arange(1 << GRAM_BITS, dtype=np.uint64)
-    masks = np.full(1 << GRAM_BITS, (1 << 64) - 1, np.uint64)
-    for j in range(HASHES):
-        masks &= slots[slot(every, j)]
-    wrong = np.array([np.mean(slots & np.uint64(1 << k) > 0) ** HASHES for k in range(len(langs))])
-    sent = spark.sparkContext.broadcast(masks)  # 2 MB
+    masks = answers(slots)
+    bit = lambda m, k: m[k // 64] >> np.uint64(k % 64) & np.uint64(1)
+    wrong = np.array([bit(masks, k).mean() for k in range(len(langs))])
+    sent = spark.sparkContext.broadcast(masks)  # 8 MB for every 64 languages
 
     def score(batches):
         masks, n_langs = sent.value, len(langs)
@@ -119,14 +141,14 @@ def predict(docs: DataFrame, model: tuple, keep: tuple = ("doc_id",)) -> DataFra
                 for n in NGRAMS:
                     x, at = grams(p, n)
                     doc = np.searchsorted(p.bounds, at, side="right") - 1
-                    mask = masks[x & np.uint32((1 << GRAM_BITS) - 1)]
+                    mask = masks[:, x & np.uint32((1 << GRAM_BITS) - 1)]
                     total += np.bincount(doc, minlength=p.n_docs)
                     for k in range(n_langs):
-                        hits[k] += np.bincount(doc[(mask & np.uint64(1 << k)) > 0], minlength=p.n_docs)
-                right = np.maximum((hits - wrong[:, None] * total) / np.maximum(1 - wrong[:, None], 1e-9), 0)
+                        hits[k] += np.bincount(doc[bit(mask, k) > 0], minlength=p.n_docs)
+                right = corrected(hits, total, wrong)
                 names, scores = [], []
                 for i in range(p.n_docs):
-                    known = right[:, i].sum() if n_langs else 0
+                    known = right[:, i].max() if n_langs else 0
                     if not n_langs or not letter[p.first + i]:
                         names.append("und")
                         scores.append(0.0)
@@ -136,7 +158,7 @@ def predict(docs: DataFrame, model: tuple, keep: tuple = ("doc_id",)) -> DataFra
                     else:
                         k = int(right[:, i].argmax())
                         names.append(langs[k])
-                        scores.append(float(right[k, i] / known))
+                        scores.append(float(right[k, i] / total[i]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_keep{i}").slice(p.first, p.n_docs) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))

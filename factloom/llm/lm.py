@@ -1,18 +1,22 @@
 """Brown class-based bigram language model.
 
 Tokens are lower-cased words, then one end. Clustering has two steps. First the most frequent words are units of their own
-and all others belong to the unit of their ending; exchange clustering moves these units between classes while the
-likelihood of the class bigrams grows. Then every other word met ``LEAST`` times or more, however many there are, gathers
-the classes around it and moves to the class where the likelihood gains most, in one distributed pass over all training
-text. Only rarer and unseen words have the class of their ending. A text's probability is the product of smoothed class transitions and word
-emissions (count + 1) / (class tokens + class words + 1); the spare 1 is for unseen words.
-
-All training text is counted. Counts of the ``TOP`` most frequent words (a fixed bound) are broadcast; every rarer token
-meets its count and class in joins on the word's hash, where no key is hot. The unit bigrams that reach the driver are at
-most ``UNITS`` squared. Class bigrams are counted over all training text with the final classes. Words are told apart by 64-bit hashes.
-
-Edge cases: a null or empty text is its end token. With no training rows all counts are 0. Repeated rows count and are
-scored each. A null id trains.
+and all others belong to the unit of their ending; exchange clustering moves these units between classes until no move
+raises the likelihood of the class bigrams. Then every other word met ``LEAST`` times or more, however many there are,
+gathers the classes around it and moves to the class where the likelihood gains most, in one distributed pass over all
+training text. Only rarer and unseen words have the class of their ending. A text's probability is the product of smoothed
+class transitions and word emissions (count + 1) / (class tokens + class words + 1); the spare 1 is for unseen words.
+
+All training text is counted. Counts and classes of words with a share of 1 / ``TOP`` of all tokens or more, so ``TOP`` at
+most, are broadcast; every rarer token meets its count and class in joins on the word's hash, where no key is hot. The
+share is the same at every size, so the joins take the same part of the tokens of a small corpus and of a large one. The
+unit bigrams that reach the driver are at most ``UNITS`` squared. Class bigrams are counted over all training text with
+the final classes. Words are told apart by 64-bit hashes.
+
+Edge cases: a null or empty text is its end token. A text of any length is scored whole. With no training rows all counts
+are 0. Repeated rows count and are scored each. A null id trains. Words of equal frequency are taken in the order of their
+hashes, and of equally good classes the first. Columns other than the named ones are ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.taskcontext import TaskContext
 from factloom.llm.shared import Scratch
 from factloom.llm.words import Piece, mix, pieces
 
-WORDS, ENDINGS, CLASSES, TOP = 1024, 512, 32, 1 << 19
+WORDS, ENDINGS, CLASSES, TOP = 1024, 512, 32, 1 << 20
 UNITS = WORDS + ENDINGS
 END = mix(np.array([0xE0D], np.uint64))[0]
 #: Strength of the class unigram in class transitions.
@@ -63,23 +67,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(batches_of, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
-def count_level():
-    return F.floor(F.log2(F.col("n").cast("double")) * 16)
-
-
-def most_frequent(counts: DataFrame, top: int = TOP) -> tuple[pa.Table, int | None]:
-    """The words above the least count (in classes of 1/16 of a power of two) that keeps them to ``top`` at most, and the end; and that class."""
-    level = count_level()
-    held, least = 0, None
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 1024 rows at most
-        held += r["count"]
-        if held > top:
-            break
-        least = r["level"]
-    chosen = F.col("ending") == -1
-    return counts.where(chosen if least is None else chosen | (level >= least)).toArrow(), least
-
-
 def word_filter(words: DataFrame) -> np.ndarray:
     """A Bloom filter of the column word: 2**LOG_BITS bits whatever the data; with more words it lets more pass."""
     spots = F.explode(F.array(*[F.pmod(F.shiftright("word", k), F.lit(1 << LOG_BITS)) for k in (0, 32)]))
@@ -118,7 +105,7 @@ def chains(p: Piece, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def count_bigrams(docs: DataFrame, lexicon: np.ndarray) -> np.ndarray:
-    """Unit bigrams of all texts, UNITS x UNITS. Each task sends a row for each bigram it has met."""
+    """Unit bigrams of all texts, UNITS x UNITS. Each task sends a row for each bigram it has met, so at most UNITS squared."""
 
     def count(batches):
         total = np.zeros(UNITS * UNITS, np.int64)
@@ -139,11 +126,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each unit. Unit 0 (the end) keeps class 0 to itself.
 
     Units start dealt out by frequency; each in turn moves to the class with the greatest class-bigram likelihood, until
-    a round moves none.
+    a round moves none. Each move raises the likelihood by more than rounding can feign, so rounds end.
     """
     b = bigrams.astype(float)
     n, freq = len(b), b.sum(0)
@@ -155,7 +142,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
     after, before = b @ one, b.T @ one  # of each unit: counts of the class that follows, that precedes
     m = one.T @ after
     size = m.sum(1)
-    for _ in range(rounds):
+    least, moved = 1e-12 * float(_xlogx(freq.sum())) + 1e-9, 1
+    while moved:
         moved = 0
         for u in order:
             if not freq[u]:
@@ -176,7 +164,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
             gain -= 2 * (_xlogx(size + freq[u]) - _xlogx(size))
             gain[0] = -np.inf
             k = int(gain.argmax())
-            if gain[k] <= gain[a] + 1e-9:
+            if gain[k] <= gain[a] + least:
                 k = a
             m[k] += r
             m[:, k] += c
@@ -189,8 +177,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 6) -> np
                 after[:, k] += b[:, u]
                 before[:, a] -= b[u]
                 before[:, k] += b[u]
-        if not moved:
-            break
     return of
 
 
@@ -300,8 +286,8 @@ def word_classes(docs: DataFrame, sent, classes: int) -> DataFrame:
 class Classes:
     """The classes of words: of ``known`` words by their hashes, else of the ending, unless ``table`` says that the word may be placed elsewhere."""
 
-    def __init__(self, known: np.ndarray, of: np.ndarray, endings: np.ndarray, table: np.ndarray | None):
-        self.known, self.of, self.endings, self.table = known, of, endings, table
+    def __init__(self, known: np.ndarray, of: np.ndarray, endings: np.ndarray, table: np.ndarray | None, n: np.ndarray):
+        self.known, self.of, self.endings, self.table, self.n = known, of, endings, table, n
 
     def look(self, p: Piece, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, hash or 0) of each word; a hash where the class must be looked up and the one given is but the ending's."""
@@ -362,21 +348,25 @@ def count_moves(docs: DataFrame, sent, tail: DataFrame | None, classes: int) ->
     return out
 
 
-def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP) -> DataFrame:
-    """Scores of all rows of docs (doc_id, text); the Boolean column ``held_out`` keeps rows from training."""
+def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP, model: dict | None = None) -> DataFrame:
+    """Scores of all rows of docs (doc_id, text); the Boolean column ``held_out`` keeps rows from training.
+
+    What was learned is put into ``model``, if given: words (DataFrame word, class; beyond them endings decide), endings, pairs.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     train = docs.where(~held_out)
     counts = scratch.table(count_words(train), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    best, least = most_frequent(counts, top)
+    frequent_ = F.col("n") * top >= n_all
+    words = counts.where("ending >= 0")
+    units = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(WORDS - 1).select("word").collect()]
+    best = counts.where(frequent_ | (F.col("ending") == -1) | F.col("word").isin(units)).toArrow()  # top and WORDS rows at most, and the end
     hash_, ending, n = (best.column(c).to_numpy() for c in ("word", "ending", "n"))
     order = np.argsort(hash_.astype(np.int64).view(np.uint64))
     hash_, ending, n = hash_.astype(np.int64).view(np.uint64)[order], ending[order], n[order]
-    own = np.flatnonzero(ending >= 0)
-    own = own[np.lexsort((hash_[own], -n[own]))][: WORDS - 1]
-    own.sort()
+    own = np.flatnonzero(np.isin(hash_, np.array(units, np.int64).view(np.uint64)) & (ending >= 0))
     lexicon = hash_[own]
     bigrams = count_bigrams(train, lexicon)
     of = exchange(bigrams, classes)
@@ -385,15 +375,14 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP)
     frequent = counts.where((F.col("ending") >= 0) & (F.col("n") >= LEAST))
     table = word_filter(frequent)
     placed = scratch.table(word_classes(train, spark.sparkContext.broadcast((lexicon, of, one.T @ bigrams @ one, table)), classes), "placed")
-    head = F.lit(False) if least is None else count_level() >= least
-    got = placed.where(head).toArrow()  # TOP rows at most
+    got = placed.where(frequent_).toArrow()  # top rows at most
     cls = np.where(ending >= 0, of[WORDS + np.maximum(ending, 0)], 0)
     cls[np.searchsorted(hash_, got.column("word").to_numpy().astype(np.int64).view(np.uint64))] = got.column("class").to_numpy()
     cls[own] = of[1 : 1 + len(own)]
-    tail = placed.where(~head).select("word", "class")
+    tail = placed.where(~frequent_).select("word", "class")
     if not tail.take(1):
         tail = table = None
-    sent = spark.sparkContext.broadcast(Classes(hash_, cls, of[WORDS:], table))  # TOP entries at most
+    sent = spark.sparkContext.broadcast(Classes(hash_, cls.astype(np.int16), of[WORDS:], table, n))  # top entries at most
     # Tokens and words of each class: the first units have one word, rare words come from the counts by ending.
     words_in = np.zeros(classes, np.int64)
     words_in[0] = int((ending == -1).any())
@@ -409,8 +398,12 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP)
     step = np.log10((pairs + BACKOFF * usual) / (pairs.sum(1, keepdims=True) + BACKOFF))
     step = step - np.log10(tokens_in + words_in + 1)  # with the emission's divisor
 
+    if model is not None:
+        lexicon_ = spark.createDataFrame([(int(h), int(of[1 + i])) for i, h in enumerate(lexicon.view(np.int64))], "word long, class int")
+        model.update(words=placed.select("word", "class").unionByName(lexicon_), endings=of[WORDS:], pairs=pairs)
+
     def score(batches):
-        known = sent.value.known
+        known, n = sent.value.known, sent.value.n
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for p in pieces(batch.column("text"), lower=True):
@@ -420,9 +413,9 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP)
                 hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
                 c_end = n[np.searchsorted(known, END)] if END in known else 0
                 c = np.where(hit, n[at] if len(known) else 0, 0)
-                logs = np.bincount(p.doc, np.log10(c + 1.0), minlength=p.n_docs) + np.log10(c_end + 1.0)
+                logs = np.bincount(p.doc, np.log10(c + 1.0), minlength=p.n_docs).astype(float) + np.log10(c_end + 1.0)
                 n_known = np.bincount(p.doc[hit], minlength=p.n_docs) + int(c_end > 0)
-                chain = np.bincount(doc, step[before, token], minlength=p.n_docs)
+                chain = np.bincount(doc, step[before, token], minlength=p.n_docs).astype(float)  # of no token numpy counts whole numbers
                 rare = ~hit
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(p.doc[rare], minlength=p.n_docs))])
                 rare_words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[rare].view(np.int64)))

@@ -6,7 +6,10 @@ range-sorted by finish time and taken while the total fits the budget. A source
 isn't reached before that copy starts.
 
 Edge cases: a null source is a source of its own, last in order; a null or empty text has size 0, and is never taken
-more than for 0 words; repeated rows queue once each; without any words all targets and takes are 0.
+more than for 0 words; a very long text is one copy like any other, left out where the rest of the budget is less. Equal
+finish times go by source, then by the shuffle; rows of one id by size. Repeated rows queue once each. Without any words
+all targets and takes are 0, and an empty table gives no rows. Other columns are ignored, whatever their names, but for
+the one named as ``key``.
 """
 
 from __future__ import annotations

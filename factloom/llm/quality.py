@@ -5,12 +5,16 @@ content lines decides whether a document stays. Its weights come from maximum li
 backward sums) on a bounded sample of labelled documents, whose lines inherit the document's label.
 
 Edge cases: a null or empty text has no words, so all counts are 0, ``base_failed`` is true and it is not kept. Lines
-without a word take no part in the chain. Repeated rows give repeated results. Without labelled rows of both kinds the
-built-in weights hold. Columns other than the named ones are ignored.
+without a word take no part in the chain. A text of any length is decoded whole. Ties between marks go to content. Repeated
+rows give repeated results; an empty table gives none. Labelled rows without an id or a label are not learned from; where
+labels lack one of the two kinds, fit() warns and returns the weights set by hand. Columns other than the named ones are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,7 +120,7 @@ def viterbi(features: np.ndarray, doc: np.ndarray, weights: np.ndarray) -> np.nd
 def train(features: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int = 120, l2: float = 1e-3) -> np.ndarray:
     """Weights of greatest penalised conditional likelihood, by Adam on the exact gradient (scaled forward-backward sums)."""
     if not len(doc) or label.all() or not label.any():
-        return DEFAULT
+        return untrained()
     k = features.shape[1]
     _, row = np.unique(doc, return_inverse=True)
     place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -150,6 +154,11 @@ def train(features: np.ndarray, doc: np.ndarray, label: np.ndarray, steps: int =
     return w
 
 
+def untrained() -> np.ndarray:
+    warnings.warn("labels of both kinds are needed to learn; the weights set by hand hold", stacklevel=3)
+    return DEFAULT
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> np.ndarray:
     """Learn from at most ``max_docs`` labelled documents, those of the smallest hashes, and ``max_lines`` lines of each.
 
@@ -178,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_
 
     got = picked.mapInArrow(lines, "doc_id long, run long, place long, label long, x array<double>").toPandas()
     if got.empty:
-        return DEFAULT
+        return untrained()
     got = got.sort_values(["doc_id", "place"], kind="stable").drop_duplicates(["doc_id", "place"])
     return train(np.stack(got.x), got.groupby(["doc_id", "run"]).ngroup().to_numpy(), got.label.to_numpy())
 

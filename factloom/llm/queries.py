@@ -177,9 +177,9 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FRO
     "op2_chunked_archives": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+f AS (SELECT *, row_number() OVER w AS nth, first(page_id) OVER w AS f FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND nth > 1 THEN f END AS refers_to
 FROM f
 """,
     "op9_branch_and_bound": """

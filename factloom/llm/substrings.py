@@ -6,11 +6,14 @@ minimiser's bucket; equal windows always meet there. In the bucket, windows are
 
 Packed strings that occur again within a lot (some megabytes of text) are settled where they are: all their windows repeat, so each place is
 told so at once and one string travels for all, marked as repeated. A group of copies therefore sends a string for each
-lot, not for each copy. Buckets are read one after another, sorted by the JVM, which spills.
+lot, not for each copy. Buckets are read one after another, sorted by the JVM, which spills; their number grows with the
+bytes of text, so one holds some ``SHELF`` bytes whatever the corpus.
 
 Edge cases: a null or empty text has no words and no windows; kept_sha256 is that of no bytes. Texts under the window
-length lose nothing. Repeated rows repeat each other, so both lose all their windows. Windows that overlap their own
-repetition count as repeated. Other columns are ignored.
+length lose nothing; a very long text is cut into strings of ``LONGEST`` windows at most. Repeated rows repeat each
+other, so both lose all their windows. Windows that overlap their own repetition count as repeated. Of equal minimisers
+in a window any will do, as a bucket is named by the value and not by its place. An empty table gives no rows. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from factloom.llm.shared import Scratch, frequent_grams, partitions, sieve
 from factloom.llm.words import Piece, gram_hash, mix, pieces
 
 WINDOW, RUN = 35, 4
-#: Windows in one packed string at most, buckets of one partition, and bytes that are packed at once.
-LONGEST, SHELVES, LOT = 512, 16, 8 << 20
+#: Windows in one packed string at most, buckets of one partition, bytes that are packed at once, and bytes of text for each bucket.
+LONGEST, SHELVES, LOT, SHELF = 512, 16, 8 << 20, 8 << 20
 _HOT = np.uint64(1 << 63)
 
 
@@ -259,7 +262,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, with_t
     # Rows are told apart by id and text; equal rows have equal results.
     named = docs.select(F.col("doc_id").cast("long"), "text", F.hash("doc_id", "text").alias("_key"))
     frequent, _ = frequent_grams(named, run, lower=False)
-    parts = partitions(spark)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), size // (SHELVES * SHELF))
     dealt = _deal(named, window, run, frequent, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("shelf")
     runs = dealt.mapInArrow(_count(window), "doc_id long, _key int, start int, size int")
     runs = scratch.table(runs, "runs")

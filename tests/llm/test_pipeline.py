@@ -2,6 +2,7 @@
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from factloom.llm import mixing, secrets
@@ -55,9 +56,37 @@ def test_everything_is_packed(stages):
 
 
 def test_stages_stand_edge_cases(spark, docs, sf_dir):
-    rows = docs.drop("n_shingles").selectExpr("doc_id", "text", "lang", "source", "length(text) AS n_chars").selectExpr("*", "CAST(n_chars AS LONG) AS n").drop("n_chars").withColumnRenamed("n", "n_chars")
-    for df in (rows, rows.limit(0)):
-        for _, stage in P.STAGES:
-            df = Scratch(spark, "edge").table(stage(spark, df, sf_dir), "s")
-        if tuple(df.columns) == P.COLUMNS:
+    rows = docs.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS LONG) AS n_chars")
+    same_id = rows.where("doc_id = 12").withColumn("text", F.lit("password=q8Z7w6E5r4T3 and a text of its own under an id that is taken"))
+    rows = rows.unionByName(same_id).unionByName(rows.where("doc_id = 9"))
+    df, kept = rows.withColumn("size", F.lit(1)).withColumn("grp", F.lit("x")), []
+    for name, stage in P.STAGES:
+        df = Scratch(spark, "edge").table(stage(spark, df, sf_dir), "s")
+        if name != "packing":
             assert df.dtypes == rows.dtypes
+            kept.append(sorted(((r.doc_id, r.text) for r in df.collect()), key=str))
+    given = sorted(((r.doc_id, r.text) for r in rows.collect()), key=str)
+    # Nulls, nothing and texts without letters go; the long text, the one without an id and both of id 12 stay.
+    assert all(x in given and (x[0] not in (4, 5, 6, 11)) for x in kept[0]) and {None, 9} <= {d for d, _ in kept[0]}
+    texts = dict(enumerate(kept[0]))
+    first = {min((texts[i][0] is None, texts[i][0] or 0, i) for i in texts if c[i] == k) for c in [{n: k for n, _, k in brute.components([(i, t) for i, (_, t) in texts.items()])}] for k in c.values()}
+    assert kept[1] == sorted((texts[i] for _, _, i in first), key=str)
+    assert any("password=" in t for _, t in kept[1])
+    assert not any("q8Z7w6E5r4T3" in t for _, t in kept[2]) and len(kept[2]) == len(kept[1])
+    assert set(kept[3]) <= set(kept[2])
+    packed = df.collect()
+    assert len(packed) == len(kept[3]) and all(r.padding >= 0 for r in packed)
+
+
+def test_stages_of_nothing(spark, sf_dir):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES:
+        df = Scratch(spark, "none").table(stage(spark, df, sf_dir), "s")
+        assert df.count() == 0
+
+
+def test_different_texts_under_one_id_stay(spark, sf_dir):
+    rows = [(1, "one two three four five six seven", "en", "a", 33), (1, "quite another text of as many words", "en", "a", 35), (None, "a third that has no id at all here", "en", "b", 34), (2, "one two three four five six seven", "en", "a", 33)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((tuple(r) for r in P.near_duplicates(spark, df, sf_dir).collect()), key=str) == sorted(rows[:3], key=str)
+    assert {(r.doc_id, r.text) for r in P.mix(spark, df, sf_dir).collect()} <= {r[:2] for r in rows}
