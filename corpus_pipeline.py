@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of documents. run() writes each stage's rows as Parquet in the shared folder and reads them again for the next.
+
+Edge cases, in each stage: ids may be null or repeat, since rows are told apart by a number that is written with them;
+columns other than those of documents are dropped, whatever their names; an empty table gives no rows. A null or empty
+text, or one without a letter, is rejected by language ID; near duplicates keep each row without a word, the secret scan
+leaves it as it is, the mix takes none, and packing gives it no batch. A text of any length is read whole. Repeated rows
+are near duplicates, so one stays; of equally good rows the one without the later number. The mix orders rows of one id
+by size.
 """
 
 from __future__ import annotations
@@ -13,10 +20,15 @@ from factloom.llm import jaccard, language, mixing, packing, secrets
 from factloom.llm.shared import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best language holds less than this share of its known n-grams is rejected.
+#: A document whose best language holds less than this share of its n-grams is rejected.
 MIN_LANGUAGE_SCORE = 0.4
 
 
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number each (_row), written once, so that it stays theirs."""
+    return Scratch(spark, name).table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without letters or with too mixed n-grams go. A missing lang gets the prediction."""
     found = language.predict(docs, language.learn(docs), keep=COLUMNS)
@@ -25,11 +37,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates, once; rows without an id stay."""
-    groups = jaccard.similar_groups(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first"))
-    stay = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """The document of the smallest id of each group of near duplicates, once; rows without a word stay."""
+    rows = numbered(spark, docs, "near")
+    groups = jaccard.similar_groups(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_of")
+    ids = rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_of"))
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f"))
+    return rows.join(first.select(F.col("f._row").alias("_first")), F.col("_row") == F.col("_first"), "left_semi").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +52,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
-    taken = mixing.mix_sources(keyed, key="_key").where("taken > 0")
-    times = taken.groupBy("_key").agg((F.sum("taken") / F.first("size")).cast("int").alias("_times")).withColumnRenamed("_key", "_taken")
-    once = keyed.join(times, F.col("_key") == F.col("_taken")).dropDuplicates(["_key"])
-    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    rows = numbered(spark, docs, "mix")
+    taken = mixing.mix_sources(rows, key="_row").where("taken > 0")
+    times = taken.select(F.col("_row").alias("_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(times, F.col("_row") == F.col("_taken")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
