@@ -7,10 +7,8 @@ gathers the classes around it and moves to the class where the likelihood gains
 training text. Only rarer and unseen words have the class of their ending. A text's probability is the product of smoothed
 class transitions and word emissions (count + 1) / (class tokens + class words + 1); the spare 1 is for unseen words.
 
-All training text is counted. Counts and classes of words with a share of 1 / ``TOP`` of all tokens or more, so ``TOP`` at
-most, are broadcast; every rarer token meets its count and class in joins on the word's hash, where no key is hot. The
-share is the same at every size, so the joins take the same part of the tokens of a small corpus and of a large one. The
-unit bigrams that reach the driver are at most ``UNITS`` squared. Class bigrams are counted over all training text with
+All training text is counted. Counts and classes of the ``TOP`` most frequent words (a fixed bound, some 40 MB) are
+broadcast; every rarer token meets its count and class in joins on the word's hash, where no key is hot. The unit bigrams that reach the driver are at most ``UNITS`` squared. Class bigrams are counted over all training text with
 the final classes. Words are told apart by 64-bit hashes.
 
 Edge cases: a null or empty text is its end token. A text of any length is scored whole. With no training rows all counts
@@ -31,7 +29,7 @@ from pyspark.taskcontext import TaskContext
 from factloom.llm.shared import Scratch
 from factloom.llm.words import Piece, mix, pieces
 
-WORDS, ENDINGS, CLASSES, TOP = 1024, 512, 32, 1 << 20
+WORDS, ENDINGS, CLASSES, TOP = 1024, 512, 32, 1 << 21
 UNITS = WORDS + ENDINGS
 END = mix(np.array([0xE0D], np.uint64))[0]
 #: Strength of the class unigram in class transitions.
@@ -67,6 +65,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(batches_of, "word long, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
+def count_level():
+    return F.floor(F.log2(F.col("n").cast("double")) * 16)
+
+
+def least_level(counts: DataFrame, top: int = TOP) -> int | None:
+    """The least count, in classes of 1/16 of a power of two, that keeps the words above it to ``top``; None if no class does."""
+    held, least = 0, None
+    for r in counts.groupBy(count_level().alias("level")).count().orderBy(F.desc("level")).collect():  # 1024 rows at most
+        held += r["count"]
+        if held > top:
+            break
+        least = r["level"]
+    return least
+
+
 def word_filter(words: DataFrame) -> np.ndarray:
     """A Bloom filter of the column word: 2**LOG_BITS bits whatever the data; with more words it lets more pass."""
     spots = F.explode(F.array(*[F.pmod(F.shiftright("word", k), F.lit(1 << LOG_BITS)) for k in (0, 32)]))
@@ -359,7 +372,8 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP,
     counts = scratch.table(count_words(train), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    frequent_ = F.col("n") * top >= n_all
+    least = least_level(counts, top)
+    frequent_ = F.lit(False) if least is None else count_level() >= least
     words = counts.where("ending >= 0")
     units = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(WORDS - 1).select("word").collect()]
     best = counts.where(frequent_ | (F.col("ending") == -1) | F.col("word").isin(units)).toArrow()  # top and WORDS rows at most, and the end
