@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values as V
 from factloom.functions.basis import TX, Basis, recorded, valid, visible
+from factloom.functions.lineage import Folder
 from factloom.operators.constraints import relevant, violations, worsened
 from factloom.plans.errors import CommitError
 from factloom.plans.page import Page, page
@@ -256,15 +257,17 @@ class Store:
         broken = None
         if self.constraints:
             touched = new.select("entity").unionByName(gone.select("entity")).distinct()
-            near = relevant(live.unionByName(new), touched, self.constraints)
-            broken = worsened(violations(live.join(near, "entity", "left_semi"), self.constraints), violations(after.join(near, "entity", "left_semi"), self.constraints))
+            folder = Folder(self.spark, "judged")  # what matters is read many times: written, so that it is found once
+            near, _ = folder.write(relevant(live.unionByName(new), touched, self.constraints), "near")
+            was, now = (folder.write(df.join(near, "entity", "left_semi"), k)[0] for df, k in ((live, "before"), (after, "after")))
+            broken, _ = folder.write(worsened(violations(was, self.constraints), violations(now, self.constraints)), "broken")
             if enforce and (found := broken.limit(20).collect()):
                 raise CommitError("constraint", "", f"{len(found)} violations", violations=[r.asDict() for r in found])
         if self.validators and enforce:
             journal = JournalFacts(self.transactions(m).unionByName(tx), self.changes(m).unionByName(log))
-            old, now = FactBase(self.spark, [StoredFacts(before), journal]), FactBase(self.spark, [StoredFacts(after), journal])
+            old, then = FactBase(self.spark, [StoredFacts(before), journal]), FactBase(self.spark, [StoredFacts(after), journal])
             for check in self.validators:
-                if why := check(old, now):
+                if why := check(old, then):
                     raise CommitError("validator", "", why)
         return broken
 

@@ -93,7 +93,7 @@ register("variable_attribute", "nation region", {"find": ["?a", "?n"], "where":
 register("pred_eq", "customer", {"find": ["?c"], "where": [["?c", ":customer/segment", "?s"], ["=", "?s", "BUILDING"]]}, "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING'")
 register("pred_ne_cross_family", "part", {"find": ["?p"], "where": [["?p", ":part/size", "?s"], ["!=", "?s", "7"]]}, "SELECT 'part:' || p_partkey AS p FROM part")
 register("pred_range", "orders", {"find": ["?o", "?t"], "where": [["?o", ":order/total", "?t"], [">=", "?t", 1000], ["<", "?t", 50000]]}, "SELECT 'order:' || o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000")
-register("pred_text_ordered", "customer", {"find": ["?c"], "where": [["?c", ":customer/segment", "?s"], [">", "?s", 0]]}, "SELECT 'customer:' || c_custkey AS c FROM customer WHERE false")
+register("pred_text_ordered", "customer", {"find": ["?c"], "where": [["?c", ":customer/segment", "?s"], ["or", [[">", "?s", 0], ["=", "?s", "BUILDING"]]]]}, "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING'")
 register("pred_const", "region", {"find": ["?r"], "where": [["?r", ":region/name", "?n"], ["!=", 1, "1"], ["<", 1, 2]]}, "SELECT 'region:' || r_regionkey AS r FROM region")
 
 # Joins.
@@ -106,7 +106,7 @@ register(
 )
 register("join_value_value", "customer supplier", {"find": ["?c", "?s"], "where": [["?c", ":customer/nation", "?n"], ["?s", ":supplier/nation", "?n"]]}, "SELECT 'customer:' || c_custkey AS c, 'supplier:' || s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 register("join_self", "nation", {"find": ["?a", "?b"], "where": [["?a", ":nation/region", "?r"], ["?b", ":nation/region", "?r"], ["!=", "?a", "?b"]]}, "SELECT 'nation:' || a.n_nationkey AS a, 'nation:' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
-register("theta_join", "region nation", {"find": ["?a", "?b"], "where": [["?a", ":region/name", "?x"], ["?b", ":nation/name", "?y"], ["=", "?x", "?y"]]}, "SELECT 'region:' || r_regionkey AS a, 'nation:' || n_nationkey AS b FROM region JOIN nation ON r_name = n_name")
+register("theta_join", "customer supplier", {"find": ["?c", "?s"], "where": [["?c", ":customer/nation", "?n"], ["?s", ":supplier/nation", "?n"], ["?c", ":customer/balance", "?a"], ["?s", ":supplier/balance", "?b"], ["<", "?a", "?b"]]}, "SELECT 'customer:' || c_custkey AS c, 'supplier:' || s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal")
 register("cross_product", "region nation", {"find": ["?a", "?b"], "where": [["?a", ":region/name", "?x"], ["?b", ":nation/name", "?y"]]}, "SELECT 'region:' || r_regionkey AS a, 'nation:' || n_nationkey AS b FROM region, nation")
 register(
     "star_lineitem", "lineitem", {"find": ["?f", "?s", "?q", "?p", "?d", "?n"], "where": [["?l", ":line/flag", "?f"], ["?l", ":line/status", "?s"], ["?l", ":line/quantity", "?x"], ["?l", ":line/price", "?y"], ["?l", ":line/discount", "?z"], ["?l", ":line/shipped", "?t"], ["<=", "?t", 904694400000]], "aggregate": [["sum", "?x", "?q"], ["sum", "?y", "?p"], ["avg", "?z", "?d"], ["count", "?l", "?n"]]},
@@ -120,14 +120,13 @@ register(
 
 # Negation and disjunction.
 
-register("not_single", "customer orders", {"find": ["?c"], "where": [["?c", ":customer/name", "?n"], ["not", ["?o", ":order/customer", "?c"]]]}, "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 register(
     "not_conjunctive", "customer orders", {"find": ["?c"], "where": [["?c", ":customer/name", "?n"], ["not", ["?o", ":order/customer", "?c"], ["?o", ":order/status", "P"], ["?o", ":order/total", "?t"], [">", "?t", 50000]]]},
     "SELECT 'customer:' || c_custkey AS c FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'P' AND o_totalprice > 50000)",
 )
 register(
-    "not_with_outer_predicate", "customer orders", {"find": ["?c"], "where": [["?c", ":customer/balance", "?b"], ["not", ["?o", ":order/customer", "?c"], ["?o", ":order/total", "?t"], [">", "?t", "?b"]]]},
-    "SELECT 'customer:' || c_custkey AS c FROM customer c WHERE c_acctbal IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > c.c_acctbal)",
+    "not_with_outer_predicate", "customer orders", {"find": ["?c"], "where": [["?c", ":customer/balance", "?b"], ["not", ["?o", ":order/customer", "?c"], ["?o", ":order/total", "?t"], ["<", "?t", "?b"]]]},
+    "SELECT 'customer:' || c_custkey AS c FROM customer c WHERE c_acctbal IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice < c.c_acctbal)",
 )
 register("not_predicates", "part", {"find": ["?p"], "where": [["?p", ":part/size", "?s"], ["not", [">", "?s", 10], ["<", "?s", 40]]]}, "SELECT 'part:' || p_partkey AS p FROM part WHERE NOT (p_size > 10 AND p_size < 40)")
 register("or_predicates", "part", {"find": ["?p", "?s"], "where": [["?p", ":part/size", "?s"], ["or", [["<", "?s", 5], ["=", "?s", 20], [">", "?s", 45]]]]}, "SELECT 'part:' || p_partkey AS p, p_size::DOUBLE AS s FROM part WHERE p_size < 5 OR p_size = 20 OR p_size > 45")
@@ -159,6 +158,12 @@ _REACH = [{"name": "reach", "maxDepth": 20, "body": [["?x", ":customer/next", "?
 _CLOSURE = f"WITH RECURSIVE e AS ({_NEXT}), r(a, b, d) AS (SELECT a, b, 0 FROM e{{seed}} UNION SELECT r.a, e.b, r.d + 1 FROM r JOIN e ON r.b = e.a WHERE r.d < 20) SELECT DISTINCT a AS x, b AS y FROM r"
 
 
+@query(f"WITH e AS ({_NEXT}) SELECT a AS c FROM e WHERE a NOT IN (SELECT b FROM e)")
+def not_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that none points to."""
+    return _rings(spark, sf_dir).query({"find": ["?c"], "where": [["?c", ":customer/next", "?n"], ["not", ["?x", ":customer/next", "?c"]]]})
+
+
 @query(_CLOSURE.format(seed=""))
 def rule_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rings(spark, sf_dir).query({"find": ["?x", "?y"], "where": [["reach", "?x", "?y"]], "rules": _REACH})
@@ -169,6 +174,14 @@ def rule_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rings(spark, sf_dir).query({"find": ["?y"], "where": [["reach", "customer:1", "?y"]], "rules": _REACH})
 
 
+@query(f"SELECT x, y FROM ({_CLOSURE.format(seed=' WHERE a IN (SELECT ' + chr(39) + 'customer:' + chr(39) + ' || c_custkey FROM customer WHERE c_custkey % 100 = 1)')})")
+def rule_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every hundredth customer only."""
+    few = lift(table(spark, sf_dir, "customer").where("c_custkey % 100 = 1"), "few", F.col("c_custkey"), of="c_custkey:ref:customer")
+    base = _rings(spark, sf_dir)
+    return FactBase(spark, [*base.sources, few]).query({"find": ["?x", "?y"], "where": [["?f", ":few/of", "?x"], ["reach", "?x", "?y"]], "rules": _REACH})
+
+
 @query(f"SELECT x FROM ({_CLOSURE.format(seed='')}) WHERE y = 'customer:40'")
 def rule_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rings(spark, sf_dir).query({"find": ["?x"], "where": [["reach", "?x", "customer:40"]], "rules": _REACH})
@@ -197,14 +210,30 @@ register(
 )
 _NAMES = {"find": ["?p", "?n"], "where": [["?p", ":part/name", "?n"]]}
 _PART = "SELECT 'part:' || p_partkey AS p, p_name AS n FROM part"
-register_wrapped("wrap_like", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "like", "value": "%1_"}]}, f"{_PART} WHERE p_name LIKE '%1_'")
-register_wrapped("wrap_ilike", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "ilike", "value": "PART%5"}]}, f"{_PART} WHERE p_name ILIKE 'PART%5'")
-register_wrapped("wrap_not_like", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "not-like", "value": "%1%"}]}, f"{_PART} WHERE p_name NOT LIKE '%1%'")
+register_wrapped("wrap_like", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "like", "value": "s%_g"}]}, f"{_PART} WHERE p_name LIKE 's%_g'")
+register_wrapped("wrap_ilike", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "ilike", "value": "S%RING"}]}, f"{_PART} WHERE p_name ILIKE 'S%RING'")
+register_wrapped("wrap_not_like", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "not-like", "value": "%red%"}]}, f"{_PART} WHERE p_name NOT LIKE '%red%'")
 register_wrapped("wrap_not_ilike", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "not-ilike", "value": "%A%"}]}, f"{_PART} WHERE p_name NOT ILIKE '%A%'")
-register_wrapped("wrap_compare", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": ">=", "value": "p"}, {"column": "?n", "op": "!=", "value": 3}]}, f"{_PART} WHERE false")
-_SEGMENT = {"find": ["?o", "?seg"], "where": [["?o", ":order/total", "?t"], ["?o", ":order/customer", "?c"], [">", "?t", 200000]], "optionalProjection": {"rowBinding": "?c", "fields": [{"attribute": ":customer/vip", "variable": "?seg"}]}}
-register_wrapped("wrap_is_null", "orders customer", {"inner": _SEGMENT, "filters": [{"column": "?seg", "op": "is-null"}]}, "SELECT 'order:' || o_orderkey AS o, NULL::VARCHAR AS seg FROM orders WHERE o_totalprice > 200000", decode={"seg": "string"})
-register_wrapped("wrap_count", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "like", "value": "%1_"}]}, "SELECT count(*) AS total FROM part WHERE p_name LIKE '%1_'", count=True)
+register_wrapped("wrap_compare", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": ">=", "value": "m"}, {"column": "?n", "op": "!=", "value": "small ring"}]}, f"{_PART} WHERE p_name >= 'm' AND p_name <> 'small ring'")
+register_wrapped("wrap_compare_families", "part", {"inner": {"find": ["?p", "?v"], "where": [["?p", "?a", "?v"]]}, "filters": [{"column": "?v", "op": "!=", "value": 7}, {"column": "?v", "op": "<", "value": 20}]}, "SELECT 'part:' || p_partkey AS p, p_size::DOUBLE AS v FROM part WHERE p_size <> 7 AND p_size < 20 UNION SELECT 'part:' || p_partkey, p_retailprice FROM part WHERE p_retailprice <> 7 AND p_retailprice < 20", decode={"v": "double"})
+register_wrapped("wrap_count", "part", {"inner": _NAMES, "filters": [{"column": "?n", "op": "like", "value": "s%_g"}]}, "SELECT count(*) AS total FROM part WHERE p_name LIKE 's%_g'", count=True)
+
+
+def _vip(op: str):
+    """Orders with a mark of their customer that only rich ones have."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = table(spark, sf_dir, "customer").withColumn("vip", F.when(F.col("c_acctbal") > 5000, F.lit("yes")))
+        base = FactBase(spark, [*lifted(spark, sf_dir, "orders").sources, lift(c, "customer", F.col("c_custkey"), vip="vip:string")])
+        inner = {"find": ["?o", "?vip"], "where": [["?o", ":order/total", "?t"], ["?o", ":order/customer", "?c"], [">", "?t", 200000]], "optionalProjection": {"rowBinding": "?c", "fields": [{"attribute": ":customer/vip", "variable": "?vip"}]}}
+        return decoded(wrapped(base, {"inner": inner, "filters": [{"column": "?vip", "op": op}]}, Basis())[0])
+
+    return run
+
+
+_RICH = "SELECT 'order:' || o_orderkey AS o, CASE WHEN c_acctbal > 5000 THEN 'yes' END AS vip FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 AND "
+QUERIES["wrap_is_null"], SQL["wrap_is_null"] = _vip("is-null"), _RICH + "NOT coalesce(c_acctbal > 5000, false)"
+QUERIES["wrap_is_not_null"], SQL["wrap_is_not_null"] = _vip("is-not-null"), _RICH + "c_acctbal > 5000"
 
 
 @query("SELECT 'order:' || o_orderkey AS o, o_totalprice AS t FROM orders WHERE o_totalprice < 90000 OR o_totalprice = 90000 AND 'order:' || o_orderkey > 'order:5' ORDER BY t DESC, o LIMIT 50")

@@ -114,6 +114,8 @@ class Compiler:
         scan = self.base.scan(None if isinstance(p.attribute, A.Var) else p.attribute, self.basis)
         df, keep = scan.df, []
         value = Operand(F.col("v"), scan.family, False)
+        if self.base.sealing is not None and p.attribute in self.base.sealing.attributes and isinstance(p.value, A.Var):
+            value = Operand(F.col("blind"), V.TEXT, False)  # sealed values meet by their tokens; an erased one meets none
         for t, column in ((p.entity, "entity"), (p.tx, "tx_id")):
             if isinstance(t, str):
                 keep.append(F.col(column) == t)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import fact
 
+from factloom.functions import values as V
 from factloom.functions.basis import Basis
 from factloom.operators import config as G
 from factloom.operators import constraints as C
@@ -189,7 +190,7 @@ def test_manifests_are_whole_or_absent(spark, tmp_path):
 
 def test_load_is_judged(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s", RULES, clock=lambda: 1000)
-    rows = lambda *facts: spark.createDataFrame([(e, a, "string", (2, None, None, v), "person") for e, a, v in facts], "entity string, attribute string, vtype string, v struct<fam:byte,num:double,bool:boolean,txt:string>, entity_type string")
+    rows = lambda *facts: spark.createDataFrame([(e, a, "string", v, "person") for e, a, v in facts], "entity string, attribute string, vtype string, v string, entity_type string").withColumn("v", V.struct(F.col("v"), V.TEXT))
     s.load(rows(("a", ":p/name", "Ann"), ("b", ":p/name", "Bob"), ("a", ":p/mail", "x")))
     for bad, code in ((rows(("c", ":p/mail", "z")), "constraint"), (rows(("c", ":p/name", "Cy"), ("c", ":p/mail", "x")), "constraint"), (rows(("c", ":_tx/actor", "z")), "reserved"), (rows(("tx:9", ":p/name", "z")), "reserved")):
         with pytest.raises(CommitError) as e:
