@@ -396,8 +396,9 @@ def test_watch_wakes_in_time(spark, tmp_path):
     assert w.poll() == "time"  # the clock ran backwards
     s.transact([P("c", ":p/other", "x")])
     assert w.poll() is None
+    s.transact([P("c", ":p/other", "y")])
     s.transact([P("c", ":p/name", "Cy")])
-    assert w.poll() == "coalesced"  # another commit came between
+    assert w.poll() == "coalesced"  # another commit came before
     s.transact([P("d", ":p/name", "Di")])
     assert w.poll() == "commit"
     assert got == [(["Ann"], "initial"), (["Ann", "Bob"], "time"), (["Bob"], "time"), (["Ann", "Bob"], "time"), (["Ann", "Bob", "Cy"], "coalesced"), (["Ann", "Bob", "Cy", "Di"], "commit")]
