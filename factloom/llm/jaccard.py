@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import connected
 from factloom.llm.shared import Scratch, frequent_grams, partitions, sieve
-from factloom.llm.words import Piece, gram_hash, mix, pieces
+from factloom.llm.words import Piece, gram_hash, mix, pieces, release
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that prefixes of similar sets share at least (all that must be shared, in small sets).
@@ -110,6 +110,7 @@ def _sets(order, percent: int, n: int):
                 key, bounds = shingle_sets(p, order.value, n)
                 size, a, b, g = digests(key, bounds, percent)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(size.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (a, b, g)], pa.FixedSizeListArray.from_arrays(pa.array(parity(key, bounds).ravel()), BITS).cast(pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "grp", "bits"])
+            release()
 
     return sets
 
@@ -151,6 +152,7 @@ def _entries(order, percent: int, n: int, parts: int, hot: int):
                 names, which = np.unique(group[one], return_inverse=True)
                 blobs.append(np.array([len(names), cut[k + 1] - cut[k]], np.uint32).tobytes() + names.tobytes() + token[one].tobytes() + place[one].tobytes() + which.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "entries"])
+            release()
 
     return entries
 
@@ -205,6 +207,8 @@ def _buckets(hot: int):
             name = mix(sums[start + size] - sums[start] + size.astype(np.uint64))
         several = np.repeat(size > 1, size)
         yield emit(*_least(np.repeat(name, size)[several], group[several], place[several]))
+        del token, group, place, by
+        release()
 
     return buckets
 
@@ -225,6 +229,7 @@ def _pack(order, n: int):
                 key, bounds = shingle_sets(p, order.value, n)
                 blobs = [key[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, p.n_docs), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
+            release()
 
     return pack
 
@@ -243,6 +248,7 @@ def _compare(percent: int):
                 both = int((x[1:] == x[:-1]).sum())
                 keep[i] = 100 * both >= percent * (len(x) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            release()
 
     return compare
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import Scratch
-from factloom.llm.words import mix, pieces
+from factloom.llm.words import mix, pieces, release
 
 GRAM_BITS, SLOT_BITS, HASHES, NGRAMS = 20, 20, 2, (2, 3, 4)
 #: N-grams in each language's filter.
@@ -84,6 +84,7 @@ def learn(docs: DataFrame, size: int = FILTER_SIZE) -> tuple[list[str], np.ndarr
                     for n in NGRAMS:
                         x, _ = grams(p, n)
                         total[lang] += np.bincount(x & np.uint32((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
+            release()
         yield from counted()
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
@@ -160,6 +161,7 @@ def predict(docs: DataFrame, model: tuple, keep: tuple = ("doc_id",)) -> DataFra
                         names.append(langs[k])
                         scores.append(float(right[k, i] / total[i]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f"_keep{i}").slice(p.first, p.n_docs) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            release()
 
     rows = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     kinds = dict(docs.dtypes)

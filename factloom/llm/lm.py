@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from factloom.llm.shared import Scratch
-from factloom.llm.words import Piece, mix, pieces
+from factloom.llm.words import Piece, mix, pieces, release
 
 WORDS, ENDINGS, CLASSES, TOP = 1024, 512, 32, 1 << 21
 UNITS = WORDS + ENDINGS
@@ -262,7 +262,7 @@ def word_classes(docs: DataFrame, sent, classes: int) -> DataFrame:
                     yield counted()
             if words:
                 yield counted()
-            pa.default_memory_pool().release_unused()
+            release()
 
     def place(batches):
         def placed(word, slot, n):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from factloom.llm.shared import Scratch, sieve
+from factloom.llm.words import release
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(?a:((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -88,6 +89,7 @@ def _scan(batches):
         cols = [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(3)], pa.array(digests, pa.string()), pa.array(found, kind), batch.column("repo"), batch.column("owner"), batch.column("_key")]
         row += n
         yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
 
 def row_key(doc_id, text):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.words import pieces
+from factloom.llm.words import pieces, release
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -134,7 +134,7 @@ def frequent_grams(docs: DataFrame, n: int, lower: bool, at_least: int = 3, top:
             keep = times >= at_least
             x, times = x[at[keep]], times[keep]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
-            pa.default_memory_pool().release_unused()
+            release()
 
     sums = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     sums = Scratch(docs.sparkSession, "frequent").table(sums, "sums")

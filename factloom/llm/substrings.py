@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import Scratch, frequent_grams, partitions, sieve
-from factloom.llm.words import Piece, gram_hash, mix, pieces
+from factloom.llm.words import Piece, gram_hash, mix, pieces, release
 
 WINDOW, RUN = 35, 4
 #: Windows in one packed string at most, buckets of one partition, bytes that are packed at once, and bytes of text for each bucket.
@@ -109,7 +109,7 @@ def _deal(docs: DataFrame, window: int, run: int, frequent: np.ndarray, parts: i
                     texts, cols, done = [], [], 0
             if cols:
                 yield from _blobs(np.concatenate(texts).tobytes(), np.concatenate(cols), parts)
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.mapInArrow(deal, "part int, shelf int, n int, meta binary, text binary")
 

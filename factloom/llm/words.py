@@ -6,6 +6,8 @@ sums (modulo 2**64, odd base, so each power can be undone), then mixed. Equal wo
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+try:
+    _trim = ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that a batch no longer needs back to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
