@@ -191,18 +191,25 @@ def _count(window: int):
         ids, keys, start, size, length, marked = (np.concatenate(x) for x in zip(*metas, strict=True))
         if not blobs[0][2]:
             return _runs(ids, keys, start, size)
-        data = np.frombuffer(b"".join([unpack.decompress(t) for _, _, t in blobs]), np.uint8)
-        p = Piece(data, np.concatenate([[0], np.cumsum(length)]).astype(np.int64), 0, False)
-        grams, at = p.grams(window, p.hashes())
-        twice = repeated(grams, p.span_hash(p.starts[at], p.ends[at + window - 1]))
-        own = p.doc[at]
+        data = b"".join([unpack.decompress(t) for _, _, t in blobs])
+        bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        strings = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        cols = []
+        for p in pieces(strings):  # only hashes and places of a whole shelf stand side by side
+            grams, at = p.grams(window, p.hashes())
+            own = p.doc[at]
+            cols.append((grams, p.span_hash(p.starts[at], p.ends[at + window - 1]), (at - p.first_word[own]).astype(np.int32), (p.first + own).astype(np.int32)))
+        del data, strings, p
+        grams, second, at, own = (np.concatenate(x) for x in zip(*cols, strict=True))
+        cols.clear()
+        twice = repeated(grams, second)
         twice |= marked[own]
         at, own = at[twice], own[twice]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
         head = np.flatnonzero(new)
         own = own[head]
-        return _runs(ids[own], keys[own], start[own] + at[head] - p.first_word[own], np.diff(np.append(head, len(at))))
+        return _runs(ids[own], keys[own], start[own] + at[head], np.diff(np.append(head, len(at))))
 
     def count(batches):
         shelf, blobs = None, []
@@ -213,9 +220,11 @@ def _count(window: int):
                     if blobs:
                         yield shelf_of(blobs)
                     shelf, blobs = s, []
+                    release()
                 blobs.append((n, m, t))
         if blobs:
             yield shelf_of(blobs)
+            release()
 
     return count
 
@@ -251,6 +260,7 @@ def _finish(window: int, with_text: bool):
                 parts = [kept[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 cols = [batch.column("doc_id").slice(p.first, p.n_docs), pa.array(n.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in parts])]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary()).cast(pa.string())] * with_text, names)
+            release()
 
     return finish
 

@@ -14,6 +14,7 @@ from compare import same
 from pyspark.sql import functions as F
 
 from factloom.llm import components, jaccard, language, lm, mixing, packing, quality, queries, secrets, shared, substrings, vectors, warc
+from factloom.llm import words as shared_words
 
 EMPTY = "doc_id long, text string, lang string, source string"
 
@@ -198,6 +199,22 @@ def test_substrings_empty(spark):
     assert sorted(r.kept_text for r in kept.collect()) == ["x", "y"]
 
 
+def test_substrings_shelf_is_read_in_pieces(monkeypatch):
+    """Tables of powers, which a worker keeps, stay those of a piece; repetitions meet across pieces."""
+    words = [" ".join(f"w{x}" for x in np.random.default_rng(k).integers(0, 100_000, 200)) for k in range(2600)]
+    words.append(words[0])
+    n, size = len(words), 200 - substrings.WINDOW + 1
+    rows = np.rec.fromarrays([np.arange(n), np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, size, np.int32), [len(x) for x in words]], names="id,key,start,size,len")
+    pack = substrings.zstandard.ZstdCompressor().compress
+    shelf = substrings._batch([(0, 0, n, pack(substrings._meta(rows, np.zeros(n, bool))), pack("".join(words).encode()))])
+    assert sum(map(len, words)) > 3 * shared_words.PIECE
+    for name in ("_powers", "_undo"):
+        monkeypatch.setattr(shared_words, name, np.ones(1, np.uint64))
+    found = [tuple(r.values()) for b in substrings._count(substrings.WINDOW)([shelf]) for r in b.to_pylist()]
+    assert sorted(found) == [(0, 0, 0, size), (n - 1, 0, 0, size)]
+    assert len(shared_words._powers) <= shared_words.PIECE + 1
+
+
 def test_rolling_min():
     x = np.array([5, 3, 9, 1, 4, 8, 7, 2], np.uint64)
     for w in range(1, 9):
