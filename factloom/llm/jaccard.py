@@ -7,9 +7,11 @@
 3. The groups that share a shingle are a bucket. Pairs of groups are filtered by their sizes, the places of the shared
    shingles and how many they share; only pairs of groups that pass expand to the groups' distinct sets.
 4. Each group first meets one leader, the least of those its buckets offer, and its sets the first set of the group; whole
-   shingle sets are compared, and links give components. Then pairs of groups that hold sets of different components meet
-   in blocks of bounded size; their sets are compared unless parity bitmaps prove too great a difference. A large group
-   of near copies thus costs a star and not its square, and no pair that could connect two components is left out.
+   shingle sets are compared, and links give components. While more pairs than entries hold sets of different
+   components, and each turn halves them, groups meet some further leaders, drawn anew in each turn. Then pairs of groups that still hold sets
+   of different components meet in blocks of bounded size; their sets are compared unless parity bitmaps prove too great a
+   difference. A large group of near copies thus costs some stars and not its square, and no pair that could connect two
+   components is left out. Groups that share much and are not similar may still cost their square.
 5. Copies join the component of their set at the end.
 
 Shingles are 64-bit hashes (6 bits of frequency, 58 of hash); sets are told apart by 128 bits. The number of parts that
@@ -23,6 +25,8 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +43,8 @@ COMMON = 4
 HOT_LEVEL = 24
 #: Entries in a part, members of a bucket on one side of a block pair, and longs in a set's parity bitmap.
 PART, SIDE, BITS = 1 << 21, 256, 8
+#: Further leaders that a group tries in a turn, and pairs for each entry that need no turn.
+TRIES, FEW = 4, 1
 
 
 class Order:
@@ -316,15 +322,42 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     inside = reps.join(groups.where("members > 1").select("grp", F.col("lead").alias("a")), "grp").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"))
     tried = scratch.table(star.unionByName(inside).distinct(), "tried")
     comps = scratch.table(connected(verify(tried, "first"), scratch, "stars"), "comps")
+    # While many pairs of groups still hold sets of different components, and a turn halves them, groups' first sets meet further leaders.
+    rows, n, m, pairs = held.select("bucket", "grp", "n", "room", "k"), F.col("n"), F.col("l.n"), float("inf")
+    for turn in count():
+        members = reps.join(comps, reps["rep"] == comps["node"], "left").select("grp", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+        members = scratch.table(members, f"members-{turn}")
+        spans = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("s"), F.min(F.struct("rep", "comp", "bits")).alias("lead"))
+        named = spans.select("grp", "lo", "hi", F.when(F.col("s") == 1, F.col("lead.bits")).alias("bits"))
+        placed = scratch.table(rows.join(named, "grp"), f"spans-{turn}")
+        open_ = placed.groupBy("bucket").agg(F.min("lo").alias("_a"), F.max("hi").alias("_b"), F.count("*").alias("s")).where("_a < _b")
+        open_ = scratch.table(open_.select("bucket", "s"), f"open-{turn}")
+        placed = scratch.table(placed.join(open_, "bucket"), f"placed-{turn}")
+        scratch.drop(f"spans-{turn}")
+        rows = placed.select("bucket", "grp", "n", "room", "k")
+        # Any group may lead, in an order of its own each turn; size classes are those of above, shifted by half every other turn.
+        shifted = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + turn % 2 / 2).cast("int")
+        firsts = rows.join(spans.select("grp", "lead"), "grp").withColumn("c", shifted).withColumn("by", F.xxhash64("grp", F.lit(turn)))
+        firsts = scratch.table(firsts, f"firsts-{turn}")
+        least = firsts.groupBy("bucket", "c").agg(F.min(F.struct("by", "grp", "n", "room", "lead")).alias("l"), F.count("*").alias("x"))
+        near = firsts.join(least, ["bucket", "c"]).where((F.col("lead.comp") != F.col("l.lead.comp")) & fits(n, m, F.least("room", "l.room")) & close("lead.bits", "l.lead.bits", n, m))
+        near = near.groupBy(F.col("lead.rep").alias("b")).agg(F.slice(F.sort_array(F.collect_set(F.struct("l.by", F.col("l.lead.rep").alias("a")))), 1, TRIES).alias("l"), F.sum("x").alias("x"))
+        near = scratch.table(near, f"near-{turn}")
+        scratch.drop(f"firsts-{turn}")
+        # What the leaders, drawn by chance, would meet if each group of their class led: an estimate of the pairs that are left.
+        pairs, before = (near.agg(F.sum("x")).first()[0] or 0) / 2, pairs
+        if pairs <= FEW * placed.count() or pairs > before / 2:
+            break
+        near = near.select("b", F.explode("l.a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        near = scratch.table(near, f"tried-{turn}")
+        links = verify(near, f"turn-{turn}")
+        if not links.take(1):
+            break
+        tried = tried.unionByName(near)
+        comps = scratch.table(connected(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links), scratch, f"stars-{turn}"), f"comps-{turn}")
     # Then all pairs of groups that still hold sets of different components.
-    members = reps.join(comps, reps["rep"] == comps["node"], "left").select("grp", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
-    members = scratch.table(members, "members")
-    spans = members.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("s"), F.first("bits").alias("bits"))
-    placed = held.select("bucket", "grp", "n", "room", "k").join(spans.withColumn("bits", F.when(F.col("s") == 1, F.col("bits"))).drop("s"), "grp")
-    placed = scratch.table(placed, "spans")
-    open_ = scratch.table(placed.groupBy("bucket").agg(F.min("lo").alias("_a"), F.max("hi").alias("_b"), F.count("*").alias("s")).where("_a < _b").select("bucket", "s"), "open")
-    placed = scratch.table(placed.join(open_, "bucket"), "placed")
-    n, n2 = F.col("n"), F.col("n2")
+    spans = spans.select("grp", "lo", "hi", "s")
+    n2 = F.col("n2")
     apart = (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & fits(n, n2, F.least("room", "room2")) & F.coalesce(close("bits", "bits2", n, n2), F.lit(True))
     rest = meet(placed, "bucket", "grp", apart).select(F.least("grp", "grp2").alias("g"), F.greatest("grp", "grp2").alias("h"), share(n, n2).alias("least")).distinct()
     # The buckets that both are in count the shingles their prefixes share; a bucket's k is the same for all its groups.

@@ -103,6 +103,23 @@ def test_jaccard_large_buckets_meet_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, jaccard.similar_groups(df, hot_level=hot).collect()), key=str) == brute.components(rows)
 
 
+def test_jaccard_leader_that_links_half(spark, monkeypatch):
+    """Near copies of one text with one or two words changed: two changes each are too many, so the least id links but half."""
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(240):
+        words = list(base)
+        for i in rng.choice(np.arange(5, 115, 5), 1 + (d + 1) % 2, replace=False):
+            words[i] = f"x{d}y{i}"
+        rows.append((d, " ".join(words)))
+    seen = {}
+    table = shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, name, *a: (out := table(self, df, name, *a), seen.update({name: out.count()}))[0])
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.components(rows)
+    assert sum(n for name, n in seen.items() if name.startswith(("tried", "rest"))) < 10 * len(rows)  # of 28680
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 50, 300, 900)]
