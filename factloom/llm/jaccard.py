@@ -4,8 +4,9 @@
    Two sets that are similar enough share ``COMMON`` shingles among the first n - ceil(t n) + COMMON of each.
 2. Documents with the same prefix and set size are one group, so copies cost one group; only groups travel, as packed
    (shingle, group) entries.
-3. The groups that share a shingle are a bucket. Pairs of groups are filtered by their sizes, the places of the shared
-   shingles and how many they share; only pairs of groups that pass expand to the groups' distinct sets.
+3. The groups that share a shingle are a bucket. A group that shares too few shingles with all others goes; of a group's
+   largest buckets, those that can't suffice for a pair serve to count and not to join. Pairs of groups are filtered by
+   their sizes, the places of the shared shingles and how many they share; only pairs that pass expand to the groups' distinct sets.
 4. Each group first meets one leader, the least of those its buckets offer, and its sets the first set of the group; whole
    shingle sets are compared, and links give components. While more pairs than entries hold sets of different
    components, and each turn halves them, groups meet some further leaders, drawn anew in each turn. Then pairs of groups that still hold sets
@@ -29,7 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected
@@ -45,6 +46,8 @@ HOT_LEVEL = 24
 PART, SIDE, BITS = 1 << 21, 256, 8
 #: Further leaders that a group tries in a turn, and pairs for each entry that need no turn.
 TRIES, FEW = 4, 1
+#: Hot buckets count as larger than all others.
+HOT_SIZE = 1 << 30
 
 
 class Order:
@@ -173,14 +176,15 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _buckets(hot: int):
-    """From the entries of a part to rows (bucket, grp, place, k): the groups that share k shingles, each with its least place.
+    """From the entries of a part to rows (bucket, grp, place, k, size): the groups that share k shingles, each with its least place.
 
-    Shingles that the same groups share are one bucket, named after the groups. A hot shingle is a bucket of its own; its
-    rows, one for each batch that holds the group, have k = 0 and count 1 together.
+    Shingles that the same groups share are one bucket, named after the groups; ``size`` is their number. A hot shingle is
+    a bucket of its own; its rows, one for each batch that holds the group, have k = 0 and count 1 together, and its size
+    is HOT_SIZE and its level, as its groups are in no one place.
     """
 
-    def emit(bucket, group, place, k):
-        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(group.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32))], ["bucket", "grp", "place", "k"])
+    def emit(bucket, group, place, k, size):
+        return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(group.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(size.astype(np.int32))], ["bucket", "grp", "place", "k", "size"])
 
     def buckets(batches):
         got = []
@@ -189,7 +193,7 @@ def _buckets(hot: int):
                 token, group, place = _unpack(blob.as_py())
                 common = (token >> np.uint64(58)) >= np.uint64(hot)
                 if common.any():
-                    yield emit(token[common], group[common], place[common], np.zeros(int(common.sum())))
+                    yield emit(token[common], group[common], place[common], np.zeros(int(common.sum())), HOT_SIZE + (token[common] >> np.uint64(58)).astype(np.int64))
                     token, group, place = token[~common], group[~common], place[~common]
                 got.append((token, group, place))
         if not got:
@@ -212,7 +216,10 @@ def _buckets(hot: int):
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(group), dtype=np.uint64)])
             name = mix(sums[start + size] - sums[start] + size.astype(np.uint64))
         several = np.repeat(size > 1, size)
-        yield emit(*_least(np.repeat(name, size)[several], group[several], place[several]))
+        bucket, group, place, k = _least(np.repeat(name, size)[several], group[several], place[several])
+        new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+        members = np.diff(np.append(new, len(bucket)))
+        yield emit(bucket, group, place, k, np.repeat(np.minimum(members, HOT_SIZE), members))
         del token, group, place, by
         release()
 
@@ -286,11 +293,18 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     entries = groups.agg(F.sum(F.col("n") * (100 - percent) / 100 + COMMON + 1).alias("n")).first()["n"] or 0
     parts = max(partitions(spark), int(entries) // PART)
     dealt = docs.mapInArrow(_entries(order, percent, shingle, parts, hot_level), "part int, entries binary").repartitionById(parts, F.col("part"))
-    found = scratch.table(dealt.mapInArrow(_buckets(hot_level), "bucket long, grp long, place int, k int"), "found")
+    found = scratch.table(dealt.mapInArrow(_buckets(hot_level), "bucket long, grp long, place int, k int, size int"), "found")
     # A size class holds sizes within the ratio; a class's groups meet its leader and the one of the class below.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.greatest(F.sum("k"), F.lit(1)).alias("k")).join(groups.select("grp", "lead", "n"), "grp")
-    held = scratch.table(held.select("bucket", "grp", "lead", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c")), "held")
+    held = found.groupBy("bucket", "grp").agg(F.min("place").alias("place"), F.greatest(F.sum("k"), F.lit(1)).alias("k"), F.first("size").alias("size")).join(groups.select("grp", "lead", "n"), "grp")
+    # A group that shares fewer shingles with all others than a partner of any size must share has none. Of the rest, those
+    # in its largest buckets may go, as long as they are fewer than that: of the buckets that two partners share, the last
+    # in this order stays with both.
+    need = F.least(F.lit(COMMON), F.ceil(F.col("n") * percent * percent / 10000))
+    mine = Window.partitionBy("grp")
+    held = held.withColumn("_all", F.sum("k").over(mine)).where(F.col("_all") >= need)
+    held = held.withColumn("joins", F.sum("k").over(mine.orderBy(F.desc("size"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) >= need)
+    held = scratch.table(held.select("bucket", "grp", "lead", "n", (F.col("n") - F.col("place")).alias("room"), "k", size_class.alias("c"), "joins"), "held")
     scratch.drop("found")
 
     fits = lambda n, m, room: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))  # noqa: E731  all that is shared lies from the first common shingle on
@@ -323,7 +337,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     tried = scratch.table(star.unionByName(inside).distinct(), "tried")
     comps = scratch.table(connected(verify(tried, "first"), scratch, "stars"), "comps")
     # While many pairs of groups still hold sets of different components, and a turn halves them, groups' first sets meet further leaders.
-    rows, n, m, pairs = held.select("bucket", "grp", "n", "room", "k"), F.col("n"), F.col("l.n"), float("inf")
+    # Shared shingles of buckets that one of the two left, COMMON - 1 each at most, may lie before the first common one here.
+    rows = held.where("joins").select("bucket", "grp", "n", (F.col("room") + 2 * (COMMON - 1)).alias("room"))
+    n, m, pairs = F.col("n"), F.col("l.n"), float("inf")
     for turn in count():
         members = reps.join(comps, reps["rep"] == comps["node"], "left").select("grp", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
         members = scratch.table(members, f"members-{turn}")
@@ -334,7 +350,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
         open_ = scratch.table(open_.select("bucket", "s"), f"open-{turn}")
         placed = scratch.table(placed.join(open_, "bucket"), f"placed-{turn}")
         scratch.drop(f"spans-{turn}")
-        rows = placed.select("bucket", "grp", "n", "room", "k")
+        rows = placed.select("bucket", "grp", "n", "room")
         # Any group may lead, in an order of its own each turn; size classes are those of above, shifted by half every other turn.
         shifted = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + turn % 2 / 2).cast("int")
         firsts = rows.join(spans.select("grp", "lead"), "grp").withColumn("c", shifted).withColumn("by", F.xxhash64("grp", F.lit(turn)))
@@ -360,8 +376,10 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     n2 = F.col("n2")
     apart = (F.least("lo", "lo2") < F.greatest("hi", "hi2")) & fits(n, n2, F.least("room", "room2")) & F.coalesce(close("bits", "bits2", n, n2), F.lit(True))
     rest = meet(placed, "bucket", "grp", apart).select(F.least("grp", "grp2").alias("g"), F.greatest("grp", "grp2").alias("h"), share(n, n2).alias("least")).distinct()
-    # The buckets that both are in count the shingles their prefixes share; a bucket's k is the same for all its groups.
-    lists = placed.groupBy("grp").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
+    # All buckets that both are in count the shingles their prefixes share; a bucket's k is the same for all its groups.
+    rest = scratch.table(rest, "near")
+    lists = held.join(rest.select(F.explode(F.array("g", "h")).alias("grp")).distinct(), "grp", "left_semi")
+    lists = lists.groupBy("grp").agg(F.collect_set(F.struct("bucket", "k")).alias("have"))
     rest = rest.join(lists.select(F.col("grp").alias("g"), F.col("have").alias("x")), "g").join(lists.select(F.col("grp").alias("h"), F.col("have").alias("y")), "h")
     both = F.aggregate(F.array_intersect("x", "y"), F.lit(0).cast("long"), lambda total, bucket: total + bucket["k"])
     rest = rest.where(both >= F.col("least")).select("g", "h")

@@ -120,6 +120,30 @@ def test_jaccard_leader_that_links_half(spark, monkeypatch):
     assert sum(n for name, n in seen.items() if name.startswith(("tried", "rest"))) < 10 * len(rows)  # of 28680
 
 
+def test_jaccard_joins_only_buckets_that_can_suffice(spark, monkeypatch):
+    """Pairs of texts that share two shingles, fewer than partners must, don't join; mutated texts of all lengths are linked as by brute force."""
+    rng, rows = np.random.default_rng(7), []
+    for d in range(200):
+        rows.append((d, " ".join([*(f"a{d}x{i}" for i in range(20)), *(f"p{d // 2}y{i}" for i in range(6)), *(f"b{d}z{i}" for i in range(14))])))
+    seen = {}
+    table = shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, name, *a: (out := table(self, df, name, *a), seen.update({name: out.count()}))[0])
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.components(rows)
+    assert seen["found"] > 0
+    assert seen["held"] == 0
+    rows = []
+    for d in range(240):
+        words = [f"t{d % 12}w{i}" for i in range(6 + 9 * (d % 12))]
+        for i in rng.choice(len(words), rng.integers(0, 2 + len(words) // 25), replace=False):
+            words[i] = f"x{rng.integers(0, 6)}"
+        rows.append((d, " ".join([*words, *(f"common{i}" for i in range(d % 9))])))
+    for hot in (24, 1):
+        got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot_level=hot)
+        assert sorted(map(tuple, got.collect()), key=str) == brute.components(rows)
+        assert seen["rest"] > 0
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 50, 300, 900)]
