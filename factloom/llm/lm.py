@@ -8,7 +8,8 @@ training text. Only rarer and unseen words have the class of their ending. A tex
 class transitions and word emissions (count + 1) / (class tokens + class words + 1); the spare 1 is for unseen words.
 
 All training text is counted. Counts and classes of the ``TOP`` most frequent words (a fixed bound, some 40 MB) are
-broadcast; every rarer token meets its count and class in joins on the word's hash, where no key is hot. The unit bigrams that reach the driver are at most ``UNITS`` squared. Class bigrams are counted over all training text with
+broadcast; rarer tokens meet their counts and classes in joins on the word's hash, where no key is hot. Bloom filters (4 MB
+each) spare the count's join those that no training text has, and in training texts those that occur once. The unit bigrams that reach the driver are at most ``UNITS`` squared. Class bigrams are counted over all training text with
 the final classes. Words are told apart by 64-bit hashes.
 
 Edge cases: a null or empty text is its end token. A text of any length is scored whole. With no training rows all counts
@@ -397,6 +398,9 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP,
     if not tail.take(1):
         tail = table = None
     sent = spark.sparkContext.broadcast(Classes(hash_, cls.astype(np.int16), of[WORDS:], table, n))  # top entries at most
+    # Of the words beyond them, only what may be there is looked up, and in training texts, where all are, only what may be there twice.
+    beyond = counts.where(~frequent_ & (F.col("ending") >= 0))
+    filters = spark.sparkContext.broadcast((word_filter(beyond), word_filter(beyond.where("n > 1"))) if beyond.take(1) else None)
     # Tokens and words of each class: the first units have one word, rare words come from the counts by ending.
     words_in = np.zeros(classes, np.int64)
     words_in[0] = int((ending == -1).any())
@@ -427,10 +431,20 @@ def class_lm(docs: DataFrame, held_out, classes: int = CLASSES, top: int = TOP,
                 hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
                 c_end = n[np.searchsorted(known, END)] if END in known else 0
                 c = np.where(hit, n[at] if len(known) else 0, 0)
+                rare = ~hit
+                if filters.value is None:
+                    rare[:] = False  # all words are known or unseen
+                else:
+                    seen, twice = filters.value
+                    trained = ~np.asarray(batch.column("held_out").slice(p.first, p.n_docs).fill_null(True).to_numpy(zero_copy_only=False), bool)[p.doc]
+                    more = np.zeros(len(hashes), bool)
+                    more[rare] = passes(twice, hashes[rare])
+                    once = rare & trained & ~more
+                    c[once] = 1
+                    rare &= np.where(trained, more, passes(seen, hashes))
                 logs = np.bincount(p.doc, np.log10(c + 1.0), minlength=p.n_docs).astype(float) + np.log10(c_end + 1.0)
-                n_known = np.bincount(p.doc[hit], minlength=p.n_docs) + int(c_end > 0)
+                n_known = np.bincount(p.doc[c > 0], minlength=p.n_docs) + int(c_end > 0)
                 chain = np.bincount(doc, step[before, token], minlength=p.n_docs).astype(float)  # of no token numpy counts whole numbers
-                rare = ~hit
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(p.doc[rare], minlength=p.n_docs))])
                 rare_words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[rare].view(np.int64)))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(open_doc, minlength=p.n_docs))])

@@ -473,6 +473,18 @@ def test_class_lm_score(real, texts, top):
         assert math.isclose(got[d], want, rel_tol=1e-9)
 
 
+def test_class_lm_looks_up_only_what_may_be_there(real, monkeypatch):
+    """Beyond the broadcast words, tokens without a count, and in training texts those met once, need no join."""
+    kept = {}
+    table = shared.Scratch.table
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, name, *a: kept.setdefault(name, table(self, df, name, *a)))
+    lm.class_lm(real, language.held_out(F.col("doc_id"), 7, 2), top=500)
+    tail = kept["rows"].select("held_out", F.explode("_tail").alias("word")).join(kept["counts"].select("word", "n"), "word", "left")
+    got = {(r.held_out, r.n): r["count"] for r in tail.groupBy("held_out", "n").count().collect()}
+    assert (True, 1) in got and (False, 2) in got
+    assert (True, None) not in got and (False, 1) not in got
+
+
 def test_class_lm_edges(spark, docs):
     got = lm.class_lm(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and {r.n_tokens for r in got if r.doc_id in (4, 5, 6)} == {1}
