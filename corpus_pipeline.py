@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard, language, mixing, packing, secrets
-from factloom.llm.shared import Scratch
+from factloom.llm.shared import Scratch, classified
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language holds less than this share of its n-grams is rejected.
 MIN_LANGUAGE_SCORE = 0.4
 
 
-def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """The rows with a number each (_row), written once, so that it stays theirs."""
-    return Scratch(spark, name).table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return scratch.table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates, once; rows without a word stay."""
-    rows = numbered(spark, docs, "near")
+    scratch = Scratch(spark, "near")
+    rows = numbered(scratch, docs)
     groups = jaccard.similar_groups(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_of")
-    ids = rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_of"))
+    ids = scratch.table(rows.select("_row", "doc_id").join(groups, F.col("_row") == F.col("_of")).select("_row", "doc_id", "component_id"), "ids")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f"))
-    return rows.join(first.select(F.col("f._row").alias("_first")), F.col("_row") == F.col("_first"), "left_semi").select(*COLUMNS)
+    marks = ids.select("_row").join(first.select(F.col("f._row").alias("_first")), F.col("_row") == F.col("_first"), "left")
+    marks = scratch.table(marks.select("_row", F.col("_first").isNotNull().alias("_kept")), "marks")
+    return classified(rows, "_row", marks, "_kept").where("_kept").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +55,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    rows = numbered(spark, docs, "mix")
-    taken = mixing.mix_sources(rows, key="_row").where("taken > 0")
-    times = taken.select(F.col("_row").alias("_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return rows.join(times, F.col("_row") == F.col("_taken")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    scratch = Scratch(spark, "mix")
+    rows = numbered(scratch, docs)
+    times = F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    marks = scratch.table(mixing.mix_sources(rows, key="_row").select("_row", times.alias("_times")), "marks")
+    rows = classified(rows, "_row", marks, "_times").where("_times > 0")
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,20 +326,22 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
         scratch.drop(f"{name}-grams")
         return links
 
+    n = F.col("n")
     # First each group meets one leader, the least of those that its buckets offer, and its sets their group's first.
     leaders = scratch.table(held.groupBy("bucket", "c").agg(F.min(F.struct("lead", "grp", "n", "room")).alias("l")), "leaders")
     near = held.unionByName(held.withColumn("c", F.col("c") - 1)).join(leaders, ["bucket", "c"]).where(F.col("l.lead") < F.col("lead"))
     near = near.select(F.col("l.lead").alias("a"), "grp", "n", F.col("l.n").alias("m"), "k", F.least("room", "l.room").alias("room"))
     near = near.groupBy("a", "grp").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"), F.max("room").alias("room"))
     near = near.where(fits(F.col("n"), F.col("m"), F.col("room")) & (F.col("k") >= share(F.col("n"), F.col("m"))))
-    star = near.groupBy("grp").agg(F.min("a").alias("a")).join(reps.select("grp", F.col("rep").alias("b")), "grp").select("a", "b")
-    inside = reps.join(groups.where("members > 1").select("grp", F.col("lead").alias("a")), "grp").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"))
-    tried = scratch.table(star.unionByName(inside).distinct(), "tried")
+    star = near.groupBy("grp").agg(F.min("a").alias("a")).join(reps.select("grp", F.col("rep").alias("b"), n.alias("m"), F.col("bits").alias("bits2")), "grp").select("a", "b", "m", "bits2")
+    inside = reps.join(groups.where("members > 1").select("grp", F.col("lead").alias("a")), "grp").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b"), n.alias("m"), F.col("bits").alias("bits2"))
+    tried = star.unionByName(inside).join(reps.select(F.col("rep").alias("a"), "n", "bits"), "a").where(close("bits", "bits2", n, F.col("m")))
+    tried = scratch.table(tried.select("a", "b").distinct(), "tried")
     comps = scratch.table(connected(verify(tried, "first"), scratch, "stars"), "comps")
     # While many pairs of groups still hold sets of different components, and a turn halves them, groups' first sets meet further leaders.
     # Shared shingles of buckets that one of the two left, COMMON - 1 each at most, may lie before the first common one here.
     rows = held.where("joins").select("bucket", "grp", "n", (F.col("room") + 2 * (COMMON - 1)).alias("room"))
-    n, m, pairs = F.col("n"), F.col("l.n"), float("inf")
+    m, pairs = F.col("l.n"), float("inf")
     for turn in count():
         members = reps.join(comps, reps["rep"] == comps["node"], "left").select("grp", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
         members = scratch.table(members, f"members-{turn}")
@@ -351,20 +353,23 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
         placed = scratch.table(placed.join(open_, "bucket"), f"placed-{turn}")
         scratch.drop(f"spans-{turn}")
         rows = placed.select("bucket", "grp", "n", "room")
-        # Any group may lead, in an order of its own each turn; size classes are those of above, shifted by half every other turn.
+        # Any groups may lead, TRIES of a bucket and class, in an order of the bucket's own each turn, or all buckets of a large group
+        # would have one leader; size classes are those of above, shifted by half every other turn.
         shifted = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + turn % 2 / 2).cast("int")
-        firsts = rows.join(spans.select("grp", "lead"), "grp").withColumn("c", shifted).withColumn("by", F.xxhash64("grp", F.lit(turn)))
+        firsts = rows.join(spans.select("grp", "lead"), "grp").withColumn("c", shifted).withColumn("by", F.xxhash64("grp", "bucket", F.lit(turn)))
         firsts = scratch.table(firsts, f"firsts-{turn}")
-        least = firsts.groupBy("bucket", "c").agg(F.min(F.struct("by", "grp", "n", "room", "lead")).alias("l"), F.count("*").alias("x"))
-        near = firsts.join(least, ["bucket", "c"]).where((F.col("lead.comp") != F.col("l.lead.comp")) & fits(n, m, F.least("room", "l.room")) & close("lead.bits", "l.lead.bits", n, m))
-        near = near.groupBy(F.col("lead.rep").alias("b")).agg(F.slice(F.sort_array(F.collect_set(F.struct("l.by", F.col("l.lead.rep").alias("a")))), 1, TRIES).alias("l"), F.sum("x").alias("x"))
+        least = firsts.groupBy("bucket", "c", F.pmod("by", F.lit(TRIES)).alias("_")).agg(F.min(F.struct("by", "grp", "n", "room", "lead")).alias("l"), F.count("*").alias("x"))
+        least = least.groupBy("bucket", "c").agg(F.collect_list("l").alias("ls"), (F.sum("x") / F.count("*")).alias("x"))
+        near = firsts.join(least, ["bucket", "c"]).select("n", "room", "lead", "x", F.explode("ls").alias("l"))
+        near = near.where((F.col("lead.comp") != F.col("l.lead.comp")) & fits(n, m, F.least("room", "l.room")) & close("lead.bits", "l.lead.bits", n, m))
+        near = near.groupBy(F.col("lead.rep").alias("b")).agg(F.slice(F.array_distinct(F.sort_array(F.collect_set(F.struct("l.by", F.col("l.lead.rep").alias("a"))))["a"]), 1, TRIES).alias("l"), F.sum("x").alias("x"))
         near = scratch.table(near, f"near-{turn}")
         scratch.drop(f"firsts-{turn}")
         # What the leaders, drawn by chance, would meet if each group of their class led: an estimate of the pairs that are left.
         pairs, before = (near.agg(F.sum("x")).first()[0] or 0) / 2, pairs
         if pairs <= FEW * placed.count() or pairs > before / 2:
             break
-        near = near.select("b", F.explode("l.a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        near = near.select("b", F.explode("l").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         near = scratch.table(near, f"tried-{turn}")
         links = verify(near, f"turn-{turn}")
         if not links.take(1):

@@ -115,6 +115,22 @@ def sieve(keys: DataFrame, column: str, log_bits: int | None = None):
     return lambda c: there(*[F.pmod(F.xxhash64(c, F.lit(k)), F.lit(1 << log_bits)) for k in (1, 2)])
 
 
+def classified(rows: DataFrame, key: str, marks: DataFrame, column: str) -> DataFrame:
+    """rows with ``column`` of marks (key long, column), a written table that has each row's key once and few values of the column.
+
+    Each value has a sieve of its keys. The keys that one sieve alone lets pass have its value for sure, so only rows whose
+    keys several let pass, a few hundredths of all, are shuffled to be joined; the others, however wide, stay where they are.
+    """
+    marks = marks.select(F.col(key).alias("_marked"), column)
+    values = sorted(r[0] for r in marks.select(column).distinct().collect())
+    if not values:
+        return rows.withColumn(column, F.lit(None).cast(marks.schema[column].dataType)).limit(0)
+    tests = {v: sieve(marks.where(F.col(column) == v), "_marked") for v in values}
+    tested = rows.withColumn("_pass", F.array(*[F.when(test(F.col(key)), F.lit(v)) for v, test in tests.items()])).withColumn("_pass", F.array_compact("_pass"))
+    sure = tested.where(F.size("_pass") == 1).withColumn(column, F.col("_pass")[0].cast(marks.schema[column].dataType)).drop("_pass")
+    return sure.unionByName(tested.where(F.size("_pass") > 1).drop("_pass").join(marks, F.col(key) == F.col("_marked")).drop("_marked"))
+
+
 def frequent_grams(docs: DataFrame, n: int, lower: bool, at_least: int = 3, top: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and counts of frequent runs of n words of docs (text): those met ``at_least`` times in one batch.
 

@@ -120,6 +120,24 @@ def test_jaccard_leader_that_links_half(spark, monkeypatch):
     assert sum(n for name, n in seen.items() if name.startswith(("tried", "rest"))) < 10 * len(rows)  # of 28680
 
 
+def test_jaccard_turns_leave_few_pairs(spark, monkeypatch):
+    """Near copies with 1 to 4 words changed, where 5 changes are the most a pair may have: one leader links but a part, many leaders nearly all."""
+    rng, base, rows = np.random.default_rng(11), [f"w{i}" for i in range(200)], []
+    for d in range(200):
+        words = list(base)
+        for i in rng.choice(np.arange(5, 195, 6), 4 if d < 2 else rng.integers(1, 5), replace=False):
+            words[i] = f"x{d}y{i}"
+        rows.append((d, " ".join(words)))
+    seen, met = {}, []
+    table, meet = shared.Scratch.table, jaccard.meet
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, df, name, *a: (out := table(self, df, name, *a), seen.update({name: out}))[0])
+    monkeypatch.setattr(jaccard, "meet", lambda rows, key, *a: (out := meet(rows, key, *a), met.append(out.count()) if key == "bucket" else None)[0])
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.components(rows)
+    assert len(met) == 1 and met[0] < 15 * len(rows)
+    assert seen["near-0"].select(F.explode("l")).distinct().count() > 15  # buckets have leaders of their own
+
+
 def test_jaccard_joins_only_buckets_that_can_suffice(spark, monkeypatch):
     """Pairs of texts that share two shingles, fewer than partners must, don't join; mutated texts of all lengths are linked as by brute force."""
     rng, rows = np.random.default_rng(7), []

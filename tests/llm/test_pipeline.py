@@ -1,12 +1,13 @@
 """The pipeline's stages, each against brute force on what it was given."""
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from factloom.llm import mixing, secrets
-from factloom.llm.shared import Scratch
+from factloom.llm.shared import Scratch, classified
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +90,32 @@ def test_different_texts_under_one_id_stay(spark, sf_dir):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((tuple(r) for r in P.near_duplicates(spark, df, sf_dir).collect()), key=str) == sorted(rows[:3], key=str)
     assert {(r.doc_id, r.text) for r in P.mix(spark, df, sf_dir).collect()} <= {r[:2] for r in rows}
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_stay_where_they_are(spark, sf_dir, without_broadcasts):
+    """Near duplicates and the mix choose among rows by their numbers and shuffle next to no text; what goes and what comes several times is right."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"{x:x}" for x in rng.integers(1 << 60, 1 << 62, 250).tolist())
+    rows = [(d, text(), "en", "abc"[d % 3], 4000) for d in range(1500)]
+    rows += [(2000 + d, rows[d][1], "en", "a", 4000) for d in range(100)]
+    df = Scratch(spark, "t").table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8), "rows")
+    written = lambda: [(it.next().totalShuffleWrite()) for it in [spark.sparkContext._jsc.sc().statusStore().executorList(True).iterator()] if it.hasNext()][0]
+    before = written()
+    taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix_sources(df).collect()}
+    method, before = written() - before, written()
+    mix = Scratch(spark, "t").table(P.mix(spark, df, sf_dir), "mix")
+    assert {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()} == {d: n for d, n in taken.items() if n}
+    assert len(set(taken.values())) > 1
+    assert written() - before < 2 * method + 1_500_000  # of 6.8 MB of text
+    marks = Scratch(spark, "t").table(df.selectExpr("doc_id", "doc_id % 3 AS m"), "marks")
+    got = classified(df, "doc_id", marks, "m").collect()
+    assert sorted((r.doc_id, r.text, r.m) for r in got) == sorted((d, t, d % 3) for d, t, *_ in rows)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, df, sf_dir).collect()) == list(range(1500))
