@@ -44,7 +44,7 @@ COMMON = 4
 HOT_LEVEL = 24
 #: Entries in a part, members of a bucket on one side of a block pair, and longs in a set's parity bitmap.
 PART, SIDE, BITS = 1 << 21, 256, 8
-#: Further leaders that a group tries in a turn, and pairs for each entry that need no turn.
+#: Leaders of a bucket and class in a turn, and the most that a group tries; pairs for each entry that need no turn.
 TRIES, FEW = 4, 1
 #: Hot buckets count as larger than all others.
 HOT_SIZE = 1 << 30
