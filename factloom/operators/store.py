@@ -220,14 +220,23 @@ class Store:
         return rows.join(ids.orderBy("entity").limit(min(limit, 200)), "entity").orderBy("entity", "attribute", "id")
 
     def feed(self, after: int = 0, limit: int = 1000, prefix: str | None = None) -> DataFrame:
-        """Transactions behind a position, with their changes in order; with a prefix, those that touch such entities."""
-        changes = self.changes()
+        """Transactions behind a position, with ``n``, the number of their changes; with a prefix, those that touch such entities.
+
+        A transaction may have any number of changes, so they are no column here: feed_changes() has them as rows.
+        """
+        counts = self.changes().where(F.col("position") > after).groupBy("position").agg(F.count("*").alias("n"))
+        return self._fed(after, limit, prefix).join(counts, "position", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).orderBy("position")
+
+    def feed_changes(self, after: int = 0, limit: int = 1000, prefix: str | None = None) -> DataFrame:
+        """All changes of the transactions that feed() has, in order, a row each."""
+        fed = self._fed(after, limit, prefix).select("position")
+        return self.changes().where(F.col("position") > after).join(fed, "position", "left_semi").orderBy("position", "ord", "triple_id")
+
+    def _fed(self, after: int, limit: int, prefix: str | None) -> DataFrame:
         tx = self.transactions().where(F.col("position") > after)
         if prefix is not None:
-            tx = tx.join(changes.where(F.col("entity").startswith(prefix)).select("position").distinct(), "position", "left_semi")
-        tx = tx.orderBy("position").limit(min(limit, 1000))
-        grouped = changes.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("ord", "triple_id", "op", "entity", "attribute"))).alias("changes"))
-        return tx.join(grouped, "position", "left").orderBy("position")
+            tx = tx.join(self.changes().where((F.col("position") > after) & F.col("entity").startswith(prefix)).select("position").distinct(), "position", "left_semi")
+        return tx.orderBy("position").limit(min(limit, 1000))
 
     def transactions_for_entity(self, entity: str, limit: int = 100, before: int | None = None, at: int | None = None) -> DataFrame:
         """Transactions that touch an entity, newest first, behind ``before``; ``at`` pins the pages to a position."""
