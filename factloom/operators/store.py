@@ -33,6 +33,8 @@ from factloom.sources.facts import CHANGES, FACTS, TRANSACTIONS, FactBase, Journ
 
 RESERVED = (TX, ":_schema/", ":_sys/")
 _RETRACTED = "id string, entity string, attribute string, retracted_at long, retracted_position long, retract_tx_id string"
+#: Rows of a load that a task sorts at once.
+LOT = 500_000
 _MANIFEST = re.compile(r"(\d{12})(?:\.(\d+))?\.json")
 _ENTRIES = "scope string, key string, box string, payload string, position long, acknowledged boolean"
 
@@ -155,7 +157,11 @@ class Store:
         return self._read("transactions", TRANSACTIONS, m)
 
     def changes(self, m: dict | None = None) -> DataFrame:
-        return self._read("changes", CHANGES, m)
+        """The journal. A load's facts are its changes, so these are not written a second time."""
+        m = m or self.manifest()
+        written = self._read("changes", CHANGES, m)
+        loads = [x for x in m["segments"] if "facts" in x[1] and "changes" not in x[1]]
+        return written.unionByName(_asserted(self._read("facts", FACTS, {"segments": loads}))) if loads else written
 
     def base(self, *more: Source, sealing=None) -> FactBase:
         m = self.manifest()
@@ -362,28 +368,29 @@ class Store:
         """Assert many facts in one transaction: rows with entity, attribute, vtype, v, and any of entity_type, valid_from, valid_to.
 
         Stays distributed. Constraints, validators and reserved names hold as in transact(); they judge the staged rows
-        before these are published. Facts are clustered by attribute and entity.
+        before these are published. Facts are clustered by attribute and entity; what is the same for all of them, or
+        follows from the rest, is added behind the sort. A partition has so few rows that its sort fits a task's memory.
         """
         m = self.manifest()
         position, instant = m["position"] + 1, max(self.clock(), m["instant"] or 0)
         tx_id = f"tx:{position:012d}"
         given = {c: F.col(c) for c in rows.columns}
         fixed = {"id": F.concat(F.lit(f"f:{position:012d}:"), F.sha2(F.concat_ws("|", "entity", "attribute", "vtype", F.to_json("v"), *[F.col(c).cast("string") for c in ("valid_from", "valid_to") if c in given]), 256)), "valid_from": F.coalesce(given.get("valid_from", F.lit(None).cast("long")), F.lit(instant)), "recorded_at": F.lit(instant), "recorded_position": F.lit(position), "tx_id": F.lit(tx_id), "created_by": F.lit(actor)}
-        df = rows.select(*[fixed.get(f.name, given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in FACTS.fields])
+        slim = rows.select(*[c for c in FACTS.names if c in given and (c not in fixed or c == "valid_from")])
+        df = slim.repartitionByRange(-(-rows.count() // LOT) or 1, "attribute", "entity").sortWithinPartitions("attribute", "entity")
+        df = df.select(*[fixed.get(f.name, given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in FACTS.fields])
         name = f"segments/{position:012d}-{uuid.uuid4().hex[:8]}"
-        df.repartitionByRange("attribute", "entity").sortWithinPartitions("attribute", "entity").write.parquet(f"{self.path}/{name}/facts")
+        df.write.parquet(f"{self.path}/{name}/facts")
         kept = self.spark.read.schema(FACTS).parquet(f"{self.path}/{name}/facts")
         own = F.lit(False)
         for prefix in RESERVED:
             own = own | F.col("attribute").startswith(prefix)
         if bad := kept.where(own | F.col("entity").startswith("tx:") | F.col("entity").startswith("_sys:")).select("entity", "attribute").first():
             raise CommitError("reserved", "rows", f"{bad['entity']} {bad['attribute']}")
-        log = kept.select(F.lit(position).cast("long").alias("position"), F.lit(0).alias("ord"), F.col("id").alias("triple_id"), F.lit("assert").alias("op"), "entity", "attribute")
         tx = self.spark.createDataFrame([(tx_id, position, instant, actor, None, None, None, None)], TRANSACTIONS)
-        self._judge(m, self.facts(m), kept, self.spark.createDataFrame([], _RETRACTED), tx, log, enforce)
-        log.write.parquet(f"{self.path}/{name}/changes")
+        self._judge(m, self.facts(m), kept, self.spark.createDataFrame([], _RETRACTED), tx, _asserted(kept), enforce)
         tx.coalesce(1).write.parquet(f"{self.path}/{name}/transactions")
-        self._publish({"position": position, "instant": instant, "segments": [*m["segments"], [name, ["changes", "facts", "transactions"]]]})
+        self._publish({"position": position, "instant": instant, "segments": [*m["segments"], [name, ["facts", "transactions"]]]})
         return Receipt(tx_id, position, instant)
 
     def _tables(self, m: dict) -> dict[str, DataFrame]:
@@ -478,6 +485,11 @@ class Store:
         return first.join(rows.where("acknowledged").select("key").distinct(), "key", "left_anti").where(F.col("position") > after).orderBy("position", "key").limit(limit)
 
 
+def _asserted(facts: DataFrame) -> DataFrame:
+    """The journal of loaded facts."""
+    return facts.select(F.col("recorded_position").alias("position"), F.lit(0).alias("ord"), F.col("id").alias("triple_id"), F.lit("assert").alias("op"), "entity", "attribute")
+
+
 def _safe(name: str) -> str:
     """A name of any characters as one of a folder."""
     return hashlib.sha256(name.encode()).hexdigest()[:40]

@@ -35,3 +35,21 @@ def test_feed_gathers_no_changes_into_a_row(spark, store):
     assert [(r["position"], r["ord"], r["triple_id"]) for r in store.feed_changes(after=1).collect()] == [(2, 0, ids[0]), (2, 1, ids[1])]
     assert store.feed_changes(limit=1).count() == 6 and store.feed_changes(prefix="b").count() == 2
     assert [r["n"] for r in store.feed(prefix="b").collect()] == [2] and store.feed(after=3).count() == 0
+
+
+def test_load_writes_its_facts_once_in_lots(spark, store, tmp_path, monkeypatch):
+    from factloom.operators import store as S
+
+    monkeypatch.setattr(S, "LOT", 2, raising=False)
+    loaded(spark, store)
+    (name, kinds), = store.manifest()["segments"]
+    assert kinds == ["facts", "transactions"]
+    assert len(list((tmp_path / "s" / name / "facts").glob("*.parquet"))) > 1  # a task sorts LOT rows or so
+    facts = {(r["id"], r["entity"], r["attribute"], r["recorded_at"], r["tx_id"], r["created_by"]) for r in store.facts().collect()}
+    assert len(facts) == 6 and {x[3:] for x in facts} == {(1000, "tx:000000000001", "a")}
+    want = {(1, 0, i, "assert", e, a) for i, e, a, *_ in facts}
+    assert {tuple(r) for r in store.changes().collect()} == want
+    store.transact([P("b", ":p/name", "Bob")])
+    assert store.changes().count() == 7 and store.transactions_for_entity("e3").count() == 1
+    store.compact()
+    assert {tuple(r) for r in store.changes().where("position = 1").collect()} == want and store.changes().count() == 7
