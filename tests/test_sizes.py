@@ -53,3 +53,19 @@ def test_load_writes_its_facts_once_in_lots(spark, store, tmp_path, monkeypatch)
     assert store.changes().count() == 7 and store.transactions_for_entity("e3").count() == 1
     store.compact()
     assert {tuple(r) for r in store.changes().where("position = 1").collect()} == want and store.changes().count() == 7
+
+
+def facts_of(spark, *rows):
+    df = spark.createDataFrame([(f"f{i}", *r) for i, r in enumerate(rows)], "id string, entity string, attribute string, txt string, valid_from long, valid_to long")
+    return df.select("id", "entity", "attribute", F.lit("t").alias("entity_type"), F.lit("string").alias("vtype"), V.struct(F.col("txt"), V.TEXT).alias("v"), "valid_from", "valid_to")
+
+
+def test_violations_pair_no_fact_with_all_edges_of_its_key(spark):
+    from factloom.operators import constraints as C
+
+    # Two entities hold x over [2, 5) and [6, 7); overlapping spans of one entity count once, and keep their edges.
+    facts = facts_of(spark, ("a", ":p", "x", 0, 4), ("a", ":p", "x", 3, 5), ("a", ":p", "x", 6, None), ("b", ":p", "x", 2, 7))
+    got = C.violations(facts, [C.Unique("t", ":p"), C.Cardinality("t", ":p", 1)])
+    want = {("Unique", t, 2) for t in (2, 3, 4, 6)} | {("Cardinality", 3, 2)}
+    assert {(r["kind"], r["at"], r["size"]) for r in got.collect()} == want
+    assert "Join" not in plan(C.violations(facts, [C.Required("t", ":q"), C.Cardinality("t", ":p", 1)]))
