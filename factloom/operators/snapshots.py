@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.basis import Basis, visible
+from factloom.functions.lineage import Folder
 
 
 def snapshot(facts: DataFrame) -> DataFrame:
@@ -16,11 +17,25 @@ def snapshot(facts: DataFrame) -> DataFrame:
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(entity, attribute, change): what differs between the visible facts of two cuts."""
-    side = lambda df, c: df.groupBy("entity", "attribute").agg(F.sort_array(F.collect_list(F.struct("vtype", "v"))).alias(c))
-    both = side(before, "_a").join(side(after, "_b"), ["entity", "attribute"], "full")
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.to_json("_a") != F.to_json("_b"), "changed")
-    return both.select("entity", "attribute", change.alias("change")).where("change IS NOT NULL")
+    """(entity, attribute, change): what differs between the visible facts of two cuts.
+
+    Values are counted on both sides, not gathered, so no buffer grows with an attribute's values.
+    """
+    value = F.to_json(F.struct("vtype", "v")).alias("value")
+    side = lambda df, a, b: df.select("entity", "attribute", value, F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    both = side(before, 1, 0).unionByName(side(after, 0, 1)).repartition("entity", "attribute")
+    one = both.groupBy("entity", "attribute", "value").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    sums = one.groupBy("entity", "attribute").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.bool_or(F.col("_a") != F.col("_b")).alias("_differs"))
+    change = F.when(F.col("_a") == 0, "added").when(F.col("_b") == 0, "removed").otherwise("changed")
+    return sums.where("_differs").select("entity", "attribute", change.alias("change"))
+
+
+def cuts(facts: DataFrame, before: Basis, after: Basis) -> DataFrame:
+    """The same of two cuts of one history. Only entities' attributes with a fact that is visible at one cut alone are compared."""
+    a, b = F.coalesce(visible(before), F.lit(False)), F.coalesce(visible(after), F.lit(False))
+    flipped, _ = Folder(facts.sparkSession, "cuts").write(facts.where(a != b).select("entity", "attribute").distinct(), "flipped")
+    near = facts.where(a | b).join(flipped, ["entity", "attribute"], "left_semi")
+    return diff(near.where(a), near.where(b))
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -69,3 +69,16 @@ def test_violations_pair_no_fact_with_all_edges_of_its_key(spark):
     want = {("Unique", t, 2) for t in (2, 3, 4, 6)} | {("Cardinality", 3, 2)}
     assert {(r["kind"], r["at"], r["size"]) for r in got.collect()} == want
     assert "Join" not in plan(C.violations(facts, [C.Required("t", ":q"), C.Cardinality("t", ":p", 1)]))
+
+
+def test_cuts_compare_only_what_flipped_and_gather_no_values(spark, store):
+    from factloom.functions.basis import Basis, visible
+    from factloom.operators import snapshots as N
+
+    a = store.transact([P("a", ":p/name", "Ann"), P("b", ":p/name", "Bob"), P("b", ":p/mail", "x"), P("c", ":p/mail", "y")]).ids
+    store.transact([{"op": "retract", "id": a[0]}, {"op": "retract", "id": a[2]}, {"op": "retract", "id": a[3]}, P("a", ":p/name", "Eve"), P("b", ":p/tag", "t"), P("c", ":p/mail", "y")])
+    cut = [Basis(position=p) for p in (1, 2)]
+    got, whole = N.cuts(store.facts(), *cut), N.diff(*[store.facts().where(visible(c)) for c in cut])
+    want = {("a", ":p/name", "changed"), ("b", ":p/mail", "removed"), ("b", ":p/tag", "added")}
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.collect()} == want
+    assert "collect_" not in plan(got) + plan(whole) and "LeftSemi" in plan(got)
