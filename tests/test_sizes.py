@@ -82,3 +82,15 @@ def test_cuts_compare_only_what_flipped_and_gather_no_values(spark, store):
     want = {("a", ":p/name", "changed"), ("b", ":p/mail", "removed"), ("b", ":p/tag", "added")}
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.collect()} == want
     assert "collect_" not in plan(got) + plan(whole) and "LeftSemi" in plan(got)
+
+
+def test_many_to_many_joins_are_dealt_in_cells(spark, monkeypatch):
+    from factloom.plans import compile as P
+    from factloom.sources.facts import FactBase, lift
+
+    monkeypatch.setattr(P, "CELL", (3, 2), raising=False)
+    base = FactBase(spark, [lift(spark.range(n).withColumn("k", F.col("id") % 2), kind, F.col("id"), mark="k:number") for kind, n in (("a", 20), ("b", 10))])
+    df = base.query({"find": ["?a", "?b"], "where": [["?a", ":a/mark", "?k"], ["?b", ":b/mark", "?k"]]})
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == sorted((f"a:{i}", f"b:{j}") for i in range(20) for j in range(10) if i % 2 == j % 2)
+    assert df.rdd.getNumPartitions() == 4  # all shuffle partitions, though the sides have a few bytes only
